@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolattice.llm import components, frequent, mixture, oracle, tokens, topn
+from echolattice.llm import components, frequent, mixture, oracle, reading, tokens, topn
 from echolattice.sources.tables import table, trimmed
 
 
@@ -49,5 +49,15 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.shares(p8_mixture(spark, folder), table(spark, folder, "mix_targets"), "source", "n_tokens")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p5_found": p5_found, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Estimated reading level of each notebook with prose."""
+    return reading.reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_levels"), "doc_id", "text", "reading_level")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Notebooks whose prose is demanding."""
+    return p9_levels(spark, folder).where("level = 3").select("doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p5_found": p5_found, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels}
 ORACLE = oracle.ORACLE
