@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from echolattice.plans import problems
+from echolattice.plans import core, core_sql, problems
 
-QUERIES = {**problems.QUERIES}
-ORACLE = {**problems.ORACLE}
+QUERIES = {**core.QUERIES, **problems.QUERIES}
+ORACLE = {**core_sql.ORACLE, **problems.ORACLE}
