@@ -77,9 +77,9 @@ def morton_decode(code: Column) -> tuple[Column, Column]:
     return _gather(code), _gather(F.shiftright(code, 1))
 
 
-def hamming(x: Column, y: Column) -> Column:
-    """Number of bits that differ, of two integers or longs."""
-    return F.bit_count(x.bitwiseXOR(y))
+def hamming(x: Column, y: Column, bits: int = 64) -> Column:
+    """Number of bits that differ, of two longs or, with ``bits=32``, two integers."""
+    return F.bit_count(x.cast("bigint").bitwiseXOR(y.cast("bigint")).bitwiseAND(F.lit(-1 if bits == 64 else (1 << bits) - 1)))
 
 
 def hamming_bits(x: Column, y: Column) -> Column:
