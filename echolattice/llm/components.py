@@ -42,7 +42,7 @@ def number(values: DataFrame, column: str) -> DataFrame:
 
 
 def seeds(links: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """``v, seed`` of each vertex that has a link to another, from ``a, b`` (BIGINT, non-null): the smallest vertex of its component."""
+    """``v, seed`` of each vertex that isn't itself the smallest of its component, from links ``a, b`` (BIGINT, non-null): that smallest vertex. Seeds and vertices without a link have no row."""
     both = links.where("a <> b").select(F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))).distinct()
     graph = Written(both, "links")
     forest: list[Written] = []

@@ -7,7 +7,7 @@ than the one record left at the end. Records are rounded in buckets side by side
 
 from __future__ import annotations
 
-from functools import partial
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -58,13 +58,16 @@ def _uniform(ids: pd.Series, level: int, seed: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2**53
 
 
-def _round(rows: pd.DataFrame, *, level: int, seed: int) -> pd.DataFrame:
-    """One group of one source; a copy of -1 marks the fraction left over."""
-    rows = rows.sort_values("id", ignore_index=True)
-    p = rows["p"].to_numpy(copy=True)
-    rows["copy"], _ = pair(p, rows["size"].to_numpy(), _uniform(rows["id"], level, seed))
-    rows["p"] = p
-    return rows
+def _rounding(level: int, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """One group of one source; a copy of -1 marks the fraction left over."""
+        rows = rows.sort_values("id", ignore_index=True)
+        p = rows["p"].to_numpy(copy=True)
+        rows["copy"], _ = pair(p, rows["size"].to_numpy(), _uniform(rows["id"], level, seed))
+        rows["p"] = p
+        return rows
+
+    return run
 
 
 def plan_rates(sizes: dict[str, int], targets: list[tuple[str, float, int]], total: float | None) -> dict[str, float]:
@@ -121,7 +124,7 @@ def mix(records: DataFrame, targets: DataFrame, key: str, source: str, size: str
     most = max([1, *(-(-sums[s][1] // bucket_rows) for s in rates)])
     level = 0
     while True:
-        rounded = Written(open_.groupBy("source", "bucket").applyInPandas(partial(_round, level=level, seed=seed), _LEFT), "rounded").df
+        rounded = Written(open_.groupBy("source", "bucket").applyInPandas(_rounding(level, seed), _LEFT), "rounded").df
         settled = rounded.where("copy >= 0").select("id", "copy")
         done = settled if done is None else done.unionByName(settled)
         left = rounded.where("copy < 0")
