@@ -92,7 +92,8 @@ class Engine:
     def same(self, first: str, second: str) -> DataFrame:
         """``first_id, second_id, percent``."""
         files = self.files([first, second])
-        pairs = files.where(F.col("path").endswith(first.split("/")[-1])).select(F.col("resource_id").alias("first_id")).limit(1).crossJoin(files.where(F.col("path").endswith(second.split("/")[-1])).select(F.col("resource_id").alias("second_id")).limit(1))
+        of = lambda name: F.max(F.when(F.col("path").endswith("/" + name.split("/")[-1]), F.col("resource_id")))
+        pairs = files.agg(of(first).alias("first_id"), of(second).alias("second_id"))
         return dedup.shared_percent(pairs, self._postings(files), self.config.algorithm)
 
     def stats(self) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from echolattice.functions.names import basename, evaluation_name
+from echolattice.operators.skew import join_unique
 
 
 def outcomes(results: DataFrame) -> DataFrame:
@@ -41,9 +42,9 @@ def acceptable(lines: DataFrame, least_score: int = 15, shortest: float = 3, lon
 def symmetric_pairs(lines: DataFrame) -> DataFrame:
     """Adds ``symmetric``: whether exactly two lines have this unordered pair of names."""
     a, b = basename(F.col("query_path")), basename(F.col("ref_path"))
-    x = lines.withColumns({"_a": F.least(a, b), "_b": F.greatest(a, b)})
-    counts = x.groupBy("_a", "_b").agg((F.count(F.lit(1)) == 2).alias("symmetric"))
-    return x.join(counts, ["_a", "_b"]).drop("_a", "_b")
+    x = lines.withColumn("_pair", F.concat_ws("\n", F.least(a, b), F.greatest(a, b)))
+    counts = x.groupBy("_pair").agg((F.count(F.lit(1)) == 2).alias("symmetric"))
+    return join_unique(x, counts, "_pair").drop("_pair")
 
 
 def speeds(runs: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ def statistics(metadata: DataFrame, postings: DataFrame | None = None) -> DataFr
         F.max(rated).alias("max_prints_per_second"), F.min(rated).alias("min_prints_per_second"), order(-1).alias("_hi"), order(1).alias("_lo"),
     ).select("*", F.col("_hi.p").alias("max_path"), F.col("_lo.p").alias("min_path")).drop("_hi", "_lo")
     if postings is not None:
-        out = out.crossJoin(F.broadcast(postings.agg(F.count(F.lit(1)).alias("postings"))))
+        out = out.withColumn("postings", postings.agg(F.count(F.lit(1))).scalar())
     return out
 
 

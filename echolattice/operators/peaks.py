@@ -80,22 +80,15 @@ def log_frequency_windows(config: AlgorithmConfig) -> list[tuple[int, int, int]]
 def vertical_max_log(spectrogram: DataFrame, config: AlgorithmConfig) -> DataFrame:
     """Adds ``vm`` like :func:`vertical_max`, over the log-frequency windows; bins below the least one drop out.
 
-    The frame becomes one array and each maximum a slice of it, so nothing is multiplied by the width of the windows. The lookup table has one row a bin.
+    The frame becomes one array and each maximum a slice of it, so nothing is multiplied by the width of the windows. The windows are literals in the plan.
     """
-    spark = spectrogram.sparkSession
-    table = spark.createDataFrame(log_frequency_windows(config), "f int, f_start int, f_stop int")
-    cells = F.array_sort(F.collect_list(F.struct("f", "m")))
-    frames = spectrogram.groupBy(*FRAME).agg(cells.alias("cells"), F.array_agg("f").alias("_f"))
-    windows = F.array_sort(F.collect_list(F.struct("f", "f_start", "f_stop")))
-    lookup = F.broadcast(table.agg(windows.alias("windows")))
-    values = F.transform("cells", lambda c: c["m"])
-    first = F.col("cells")[0]["f"]
-    pick = lambda w: F.struct(
-        w["f"].alias("f"), F.try_element_at(values, w["f"] - first + 1).alias("m"),
-        F.array_max(F.slice(values, F.greatest(w["f_start"] - first, F.lit(0)) + 1, F.greatest(w["f_stop"] - F.greatest(w["f_start"], first), F.lit(0)))).alias("vm"),
-    )
-    out = frames.crossJoin(lookup).select(*FRAME, F.inline(F.transform("windows", pick)))
-    return out.where(F.col("m").isNotNull())
+    rows = log_frequency_windows(config)
+    cells = spectrogram.groupBy(*FRAME).agg(F.array_sort(F.collect_list(F.struct("f", "m"))).alias("cells"))
+    windows = F.arrays_zip(*(F.lit([r[i] for r in rows]).alias(name) for i, name in enumerate(("f", "a", "z"))))
+    frames = cells.select(*FRAME, F.col("cells")[0]["f"].alias("low"), F.transform("cells", lambda c: c["m"]).alias("v"))
+    low, v = F.col("low"), F.col("v")
+    pick = lambda w: F.struct(w["f"].alias("f"), F.get(v, w["f"] - low).alias("m"), F.array_max(F.slice(v, F.greatest(w["a"] - low, F.lit(0)) + 1, F.greatest(w["z"] - F.greatest(w["a"], low), F.lit(0)))).alias("vm"))
+    return frames.select(*FRAME, F.inline(F.transform(windows, pick))).where(F.col("m").isNotNull())
 
 
 def _kept(x: DataFrame, config: AlgorithmConfig, bins: Column) -> DataFrame:

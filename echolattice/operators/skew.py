@@ -43,6 +43,19 @@ def key_profile(df: DataFrame, key: str, partner: str, value: str, heavy: DataFr
     return hot.unionByName(rest).withColumnRenamed("_k", key)
 
 
+def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner", share: float = 0.005) -> DataFrame:
+    """``left.join(right, key, how)`` ('inner' or 'left') where ``right`` has at most one row a key and a few keys may hold most rows of ``left``.
+
+    Rows of the keys above ``share`` of ``left`` meet their partners by broadcast - at most MOST_HEAVY rows - and stay where they are; all others take an ordinary join. ``left`` is read more than once, so pass a stored table.
+    """
+    heavy = heavy_keys(left, [key], share)[0][key]
+    if heavy.isEmpty():
+        return left.join(right, key, how)
+    few = F.broadcast(heavy)
+    hot = left.join(few, key, "left_semi").join(F.broadcast(right.join(few, key, "left_semi")), key, how)
+    return hot.unionByName(left.join(few, key, "left_anti").join(right, key, how))
+
+
 def profile_both_ways(df: DataFrame, left: str, right: str, value: str, share: float = 0.002) -> DataFrame:
     """``field_name, key_value, n_rows, n_partners, first_value, last_value, field_rows`` for each key of both columns."""
     heavy, rows = heavy_keys(df, [left, right], share)

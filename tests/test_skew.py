@@ -1,6 +1,6 @@
 from collections import defaultdict
 
-from echolattice.operators.skew import key_profile, profile_both_ways
+from echolattice.operators.skew import join_unique, key_profile, profile_both_ways
 
 
 def test_profiles_with_hot_keys_and_nulls(spark):
@@ -30,3 +30,12 @@ def test_result_does_not_depend_on_what_is_heavy(spark):
 def test_empty_and_extra_columns(spark):
     df = spark.createDataFrame([], "h bigint, r int, t int, _k int, n_rows int")
     assert profile_both_ways(df, "h", "r", "t").count() == 0
+
+
+def test_join_with_hot_keys(spark):
+    left = spark.createDataFrame([(1, i) for i in range(300)] + [(i, i) for i in range(2, 40)] + [(None, 0)], "k int, v int")
+    right = spark.createDataFrame([(i, f"n{i}") for i in range(1, 30)], "k int, name string")
+    for how in ("inner", "left"):
+        got, want = (sorted(map(str, x.select("k", "v", "name").collect())) for x in (join_unique(left, right, "k", how, share=0.1), left.join(right, "k", how)))
+        assert got == want
+    assert join_unique(left.limit(0), right, "k").count() == 0
