@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from echolattice.operators.skew import join_unique
 from echolattice.runtime import Written, shuffle_partitions
 
 
@@ -51,11 +52,11 @@ def seeds(links: DataFrame, most_rounds: int = 100) -> DataFrame:
             raise RuntimeError(f"links remain after {most_rounds} rounds")
         g = graph.df
         least = g.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        told = g.join(least, "u").select("v", "m").unionByName(least.select(F.col("u").alias("v"), "m")).distinct()
+        told = join_unique(g, least, "u").select("v", "m").unionByName(least.select(F.col("u").alias("v"), "m")).distinct()
         told = Written(told, "told")
         mine = told.df.groupBy("v").agg(F.min("m").alias("low"), F.max(F.col("m") == F.col("v")).alias("stays"))
         forest.append(Written(mine.where("NOT stays").select("v", F.col("low").alias("parent")), "forest"))
-        linked = told.df.join(mine.select("v", "low"), "v").where("m <> low").select(F.inline(F.array(F.struct(F.col("m").alias("u"), F.col("low").alias("v")), F.struct(F.col("low").alias("u"), F.col("m").alias("v"))))).distinct()
+        linked = join_unique(told.df, mine.select("v", "low"), "v").where("m <> low").select(F.inline(F.array(F.struct(F.col("m").alias("u"), F.col("low").alias("v")), F.struct(F.col("low").alias("u"), F.col("m").alias("v"))))).distinct()
         rest = Written(linked, "links")
         graph.drop()
         told.drop()
@@ -64,7 +65,7 @@ def seeds(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     known = None
     for level in reversed(forest):
         # parents without an entry were never dropped: they are the seeds
-        below = level.df.select("v", F.col("parent").alias("seed")) if known is None else level.df.join(known.select(F.col("v").alias("parent"), "seed"), "parent", "left").select("v", F.coalesce("seed", "parent").alias("seed"))
+        below = level.df.select("v", F.col("parent").alias("seed")) if known is None else join_unique(level.df, known.select(F.col("v").alias("parent"), "seed"), "parent", "left").select("v", F.coalesce("seed", "parent").alias("seed"))
         known = below if known is None else known.unionByName(below)
         if len(forest) > 3 and level is not forest[0]:
             known = Written(known, "known").df
@@ -77,12 +78,13 @@ def groups(df: DataFrame, left: str, right: str) -> DataFrame:
     """``item, group_item`` for every value in a row where both ``left`` and ``right`` are non-null: the smallest value (in code point order) of its group.
 
     Links have no direction; repeated, mirrored and self links change nothing, and a value linked only with itself is its own group. Rows with a null on either side are no links.
-    An empty table gives no rows; other columns aren't read. A value linked with any number of others spreads over tasks: minima combine before the shuffle and the joins on
-    a vertex are split by adaptive execution.
+    An empty table gives no rows; other columns aren't read. A value linked with any number of others, and a group of any size, spreads over tasks: minima combine before the shuffle, and in every
+    join on a vertex the few that hold most rows are met by broadcast.
     """
-    pairs = df.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(F.col(left).alias("x"), F.col(right).alias("y")).distinct()
+    pairs = Written(df.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(F.col(left).alias("x"), F.col(right).alias("y")).distinct(), "pairs").df
     ids = Written(number(pairs.select(F.inline(F.array(F.struct(F.col("x").alias("item")), F.struct(F.col("y").alias("item"))))).distinct(), "item"), "ids").df
-    links = pairs.where("x <> y").join(ids.select(F.col("item").alias("x"), F.col("id").alias("a")), "x").join(ids.select(F.col("item").alias("y"), F.col("id").alias("b")), "y").select("a", "b")
+    half = Written(join_unique(pairs.where("x <> y"), ids.select(F.col("item").alias("x"), F.col("id").alias("a")), "x").select("a", "y"), "half").df
+    links = join_unique(half, ids.select(F.col("item").alias("y"), F.col("id").alias("b")), "y").select("a", "b")
     seed = seeds(links)
-    named = ids.join(seed, ids["id"] == seed["v"], "left").select("item", F.coalesce("seed", "id").alias("seed"))
-    return named.join(ids.select(F.col("item").alias("group_item"), F.col("id").alias("seed")), "seed").select("item", "group_item")
+    named = Written(ids.join(seed, ids["id"] == seed["v"], "left").select("item", F.coalesce("seed", "id").alias("seed")), "named").df
+    return join_unique(named, ids.select(F.col("item").alias("group_item"), F.col("id").alias("seed")), "seed").select("item", "group_item")
