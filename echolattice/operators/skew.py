@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 SKETCH_COUNTERS, MOST_HEAVY = 8192, 128
 
 
-def heavy_keys(df: DataFrame, keys: list[str], share: float) -> tuple[dict[str, DataFrame], dict[str, int]]:
+def heavy_keys(df: DataFrame, keys: list[str], share: float) -> tuple[dict[str, list], dict[str, int]]:
     """Keys that a frequent-items sketch over all rows puts above ``share`` of the non-null rows, at most MOST_HEAVY of each column, and the exact number of non-null rows.
 
     The sketch merges map-side; only its estimates come to the driver. A key it misses is processed as an ordinary one, so results don't depend on it.
     """
-    spark = df.sparkSession
     aggs: list[Column] = []
     for i, k in enumerate(keys):
         aggs += [F.expr(f"approx_top_k(`{k}`, {MOST_HEAVY}, {SKETCH_COUNTERS})").alias(f"top{i}"), F.count(k).alias(f"n{i}")]
@@ -22,11 +21,18 @@ def heavy_keys(df: DataFrame, keys: list[str], share: float) -> tuple[dict[str,
     heavy, rows = {}, {}
     for i, k in enumerate(keys):
         rows[k] = n = found[f"n{i}"]
-        items = [(x[0],) for x in found[f"top{i}"] or [] if x[0] is not None and x[1] > share * n]
-        heavy[k] = spark.createDataFrame(items, f"`{k}` {df.schema[k].dataType.simpleString()}")
+        heavy[k] = [x[0] for x in found[f"top{i}"] or [] if x[0] is not None and x[1] > share * n]
     return heavy, rows
 
 
+def key_table(df: DataFrame, key: str, values: list) -> DataFrame:
+    """The given keys as a table of literals, typed like ``df[key]``; at most MOST_HEAVY."""
+    if len(values) > MOST_HEAVY:
+        raise ValueError(f"more than {MOST_HEAVY} heavy keys")
+    kind = df.schema[key].dataType.simpleString()
+    return df.sparkSession.range(1).select(F.explode(F.array(*(F.lit(v) for v in values)).cast(f"array<{kind}>")).alias(key))
+
+
 def key_profile(df: DataFrame, key: str, partner: str, value: str, heavy: DataFrame) -> DataFrame:
     """``key, n_rows, n_partners (distinct, non-null), first_value, last_value`` of each non-null key.
 
@@ -49,9 +55,9 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     Rows of the keys above ``share`` of ``left`` meet their partners by broadcast - at most MOST_HEAVY rows - and stay where they are; all others take an ordinary join. ``left`` is read more than once, so pass a stored table.
     """
     heavy = heavy_keys(left, [key], share)[0][key]
-    if heavy.isEmpty():
+    if not heavy:
         return left.join(right, key, how)
-    few = F.broadcast(heavy)
+    few = F.broadcast(key_table(left, key, heavy))
     hot = left.join(few, key, "left_semi").join(F.broadcast(right.join(few, key, "left_semi")), key, how)
     return hot.unionByName(left.join(few, key, "left_anti").join(right, key, how))
 
@@ -60,7 +66,7 @@ def profile_both_ways(df: DataFrame, left: str, right: str, value: str, share: f
     """``field_name, key_value, n_rows, n_partners, first_value, last_value, field_rows`` for each key of both columns."""
     heavy, rows = heavy_keys(df, [left, right], share)
     parts = [
-        key_profile(df, key, other, value, heavy[key]).select(F.lit(key).alias("field_name"), F.col(key).cast("bigint").alias("key_value"), "n_rows", "n_partners", "first_value", "last_value", F.lit(rows[key]).cast("bigint").alias("field_rows"))
+        key_profile(df, key, other, value, key_table(df, key, heavy[key])).select(F.lit(key).alias("field_name"), F.col(key).cast("bigint").alias("key_value"), "n_rows", "n_partners", "first_value", "last_value", F.lit(rows[key]).cast("bigint").alias("field_rows"))
         for key, other in ((left, right), (right, left))
     ]
     return parts[0].unionByName(parts[1])
