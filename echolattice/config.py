@@ -73,7 +73,7 @@ class EngineConfig:
     number_of_results: int = 1_000
     max_file_size_mb: int = 6_000
     check_duplicates: bool = True
-    use_cached_prints: bool = True
+    cache_folder: str = ""
     storage: str = "table"
     constant_q: AlgorithmConfig = field(default=CONSTANT_Q)
     fft: AlgorithmConfig = field(default=FFT)

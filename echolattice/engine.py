@@ -23,7 +23,7 @@ class Engine:
         self.spark, self.config = spark, config or EngineConfig()
         self.strategy = ALIASES[self.config.strategy.lower()]
         self.path = path.rstrip("/")
-        self.index = index.StoredIndex(spark, f"{self.path}/{self.strategy}")
+        self.index = index.MemoryIndex(spark) if self.config.storage == "memory" else index.StoredIndex(spark, f"{self.path}/{self.strategy}")
 
     # --- inputs
 
@@ -60,7 +60,11 @@ class Engine:
         meta = files.select("resource_id", "path").join(audio.durations(files), "resource_id").join(counts, "resource_id", "left").select("resource_id", "path", "duration", F.coalesce("num_fingerprints", F.lit(0).cast("bigint")).alias("num_fingerprints"))
         meta = Written(meta, "metadata")
         self.index.store(kept.df, meta.df)
-        kept.drop()
+        if self.config.cache_folder:  # the same stored table also feeds the text caches
+            cachefiles.write_prints(kept.df, f"{self.config.cache_folder}/prints")
+            cachefiles.write_metadata(meta.df, f"{self.config.cache_folder}/metadata")
+        if self.config.storage != "memory":
+            kept.drop()
         return meta.df
 
     def query(self, paths: list[str], most: int | None = None, avoid: DataFrame | None = None) -> DataFrame:

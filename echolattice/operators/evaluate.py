@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from echolattice.functions.names import basename, evaluation_name
+from echolattice.functions.units import ratio_to_cent
 from echolattice.operators.skew import join_unique
 
 
@@ -47,6 +48,28 @@ def symmetric_pairs(lines: DataFrame) -> DataFrame:
     return join_unique(x, counts, "_pair").drop("_pair")
 
 
+#: Effects without a grade, and the graded modifications with their factors: 0.84 to 1.16 in steps of 0.02 without 1.
+EFFECTS = ("flanger", "band_passed_2000Hz", "chorus", "echo", "tremolo")
+GRADED = ("pitch_shift", "time_stretched", "speed_up")
+FACTORS = tuple(round(0.84 + 0.02 * i, 2) for i in range(17) if i != 8)
+
+
+def evaluation_plan(resources: DataFrame, lengths: tuple[int, ...] = (10, 20)) -> DataFrame:
+    """``resource_id, in_index, query_name, modification, factor, cents`` of all queries made from ``resource_id, path, duration``: a fifth of the resources is held out of the index; each gives an unmodified query and one of each modification, of each length.
+
+    The part asked for begins at a second that depends only on the id. Resources shorter than a length (or without duration) give none of it. ``cents`` is the pitch shift of a factor.
+    """
+    versions = [("reference", None), *((e, None) for e in EFFECTS), *((g, f) for g in GRADED for f in FACTORS)]
+    grid = F.array(*(F.struct(F.lit(m).alias("modification"), F.lit(f).cast("double").alias("factor")) for m, f in versions))
+    x = resources.where("duration IS NOT NULL").select("resource_id", (F.col("resource_id") % 5 != 0).alias("in_index"), basename(F.col("path")).alias("_base"), F.floor("duration").alias("_d"), F.explode(F.lit(list(lengths))).alias("_n"))
+    x = x.where(F.col("_d") >= F.col("_n")).withColumn("_start", F.col("resource_id") % F.greatest(F.col("_d") - F.col("_n"), F.lit(1)))
+    x = x.select("*", F.inline(grid))
+    grade = F.when(F.col("factor").isNull(), "").otherwise(F.concat(F.lit("_"), F.col("factor").cast("string")))
+    tail = F.when(F.col("modification") == "reference", "").otherwise(F.concat(F.lit("___"), "modification", grade))
+    name = F.concat("_base", F.lit("_"), F.col("_start").cast("string"), F.lit("s-"), (F.col("_start") + F.col("_n")).cast("string"), F.lit("s"), tail, F.lit(".mp3"))
+    return x.select("resource_id", "in_index", name.alias("query_name"), "modification", "factor", F.when(F.col("modification") == "pitch_shift", F.round(ratio_to_cent(F.col("factor"))).cast("int")).alias("cents"))
+
+
 def speeds(runs: DataFrame) -> DataFrame:
     """``step, cumulative_seconds, store_speed, query_speed`` from ``step, kind ('store' or 'query'), audio_seconds, wall_seconds``: seconds of audio a second, and the audio stored so far."""
     of = lambda k, c: F.sum(F.when(F.col("kind") == k, F.col(c)))

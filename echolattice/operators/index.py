@@ -90,6 +90,31 @@ def metadata_text(metadata: DataFrame) -> DataFrame:
     return metadata.select("resource_id", F.format_string("%d ; %s ; %.3f ; %d", "resource_id", "path", "duration", "num_fingerprints").alias("line"))
 
 
+class MemoryIndex:
+    """The index in executor memory for one session, with bag semantics: each insert appends, repeated postings stay. Lost blocks are computed again from the inputs."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.clear()
+
+    def clear(self) -> None:
+        for df in (getattr(self, "postings", None), getattr(self, "metadata", None)):
+            if df is not None:
+                df.unpersist()
+        self.postings = self.spark.createDataFrame([], "hash bigint, resource_id int, t1 int, f1 int")
+        self.metadata = self.spark.createDataFrame([], "resource_id int, path string, duration double, num_fingerprints bigint")
+
+    def store(self, postings: DataFrame, metadata: DataFrame) -> None:
+        self.postings = insert_bag(self.postings, postings).cache()
+        self.metadata = upsert_metadata(self.metadata, metadata).cache()
+
+    def delete(self, postings: DataFrame, ids: DataFrame) -> None:
+        self.postings, self.metadata = delete(self.postings, postings).cache(), delete_metadata(self.metadata, ids).cache()
+
+    def statistics(self) -> DataFrame:
+        return statistics(self.metadata, self.postings)
+
+
 class StoredIndex:
     """The index as Parquet folders under one path: append as a set, delete, load, clear.
 

@@ -188,6 +188,14 @@ def near_hash_avoid(spark: SparkSession, folder: str) -> DataFrame:
     return _hits(spark, folder, q.select("query_id", (F.col("query_id") % 100).alias("resource_id")).distinct()).groupBy("query_id", "ref_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
+@query
+def index_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Resources whose id is divisible by 50 as queries against the whole index: how many near hashes each shares with each resource."""
+    x = table(spark, folder, "postings")
+    asked = x.where("resource_id % 50 = 0").select(F.col("resource_id").alias("query_id"), "hash")
+    return match.hit_counts(asked, x, SMALL)
+
+
 @query
 def hits_per_reference(spark: SparkSession, folder: str) -> DataFrame:
     return _kept(spark, folder).groupBy("query_id", "ref_id").agg(F.count(F.lit(1)).alias("hits"))
@@ -404,6 +412,11 @@ def evaluation_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(evaluate.confusion(_evaluated(spark, folder)), "tp", "fp", "fn", "tn")
 
 
+@query
+def evaluation_plan(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.evaluation_plan(table(spark, folder, "resource_metadata"))
+
+
 @query
 def benchmark_speed(spark: SparkSession, folder: str) -> DataFrame:
     x = table(spark, folder, "result_lines").where("run_at IS NOT NULL AND query_start IS NOT NULL AND query_stop IS NOT NULL")

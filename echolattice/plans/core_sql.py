@@ -115,6 +115,9 @@ SELECT resource_id, CAST(({_MORTON('fr', 'tr')} & {(1 << 18) - 1}) + {_ROBUST_FL
     "hamming_distance": "SELECT DISTINCT hash, resource_id, CAST(bit_count(xor(hash, CAST(resource_id AS BIGINT))) AS INT) AS distance FROM postings WHERE hash IS NOT NULL AND resource_id IS NOT NULL",
     "near_hash_join": f"{_MATCH} SELECT query_id, ref_id, query_time, query_f1, match_time, match_f1, hash, near_hash, delta_t FROM hits",
     "near_hash_avoid": f"{_MATCH} SELECT query_id, ref_id, count(*) AS hits FROM hits WHERE ref_id <> query_id % 100 GROUP BY 1, 2",
+    "index_candidates": """WITH q AS (SELECT resource_id AS query_id, hash, count(*) AS a FROM postings WHERE resource_id % 50 = 0 AND hash IS NOT NULL GROUP BY 1, 2), n AS (SELECT query_id, unnest([hash - 2, hash - 1, hash, hash + 1, hash + 2]) AS hash, a FROM q),
+i AS (SELECT hash, resource_id AS ref_id, count(*) AS b FROM postings WHERE hash IS NOT NULL AND resource_id IS NOT NULL GROUP BY 1, 2)
+SELECT query_id, ref_id, CAST(sum(a * b) AS BIGINT) AS hits FROM n JOIN i USING (hash) GROUP BY 1, 2 HAVING sum(a * b) >= 10""",
     "hits_per_reference": f"{_MATCH} SELECT query_id, ref_id, count(*) AS hits FROM kept GROUP BY 1, 2",
     "hit_parts": f"{_MATCH} SELECT query_id, ref_id, CAST(rn AS INT) AS rn, n_hits, part_size, in_first, in_last, query_time, delta_t FROM parts",
     "modal_delta": f"{_MATCH} SELECT query_id, ref_id, y1, x1, y2, x2 FROM modes",
@@ -165,6 +168,12 @@ g AS (SELECT nullif(regexp_extract(n, '^(.+)_(\\d+)s-(\\d+)s', 1), '') AS base,
   try_cast(nullif(regexp_extract(n, '^(.+)_(\\d+)s-(\\d+)s___(.+?)(?:_(\\d+(?:\\.\\d+)?))?$', 5), '') AS DOUBLE) AS factor, CASE WHEN r IS NULL THEN 'fn' WHEN {_BASE('r')} = regexp_extract(n, '^(.+)_(\\d+)s-(\\d+)s', 1) THEN 'tp' ELSE 'fp' END AS k FROM n),
 e AS (SELECT modification, factor, k FROM g UNION ALL SELECT m, 1.0, k FROM g, (VALUES ('pitch_shift'), ('time_stretched'), ('speed_up')) v(m) WHERE modification = 'reference')
 SELECT modification, factor, count(*) AS queries, {', '.join(f"round(avg(CASE WHEN k = '{k}' THEN 1.0 ELSE 0.0 END), 6) AS {k}" for k in ('tp', 'fp', 'fn', 'tn'))} FROM e GROUP BY 1, 2""",
+    "evaluation_plan": f"""WITH v AS (SELECT * FROM (VALUES ('reference'), ('flanger'), ('band_passed_2000Hz'), ('chorus'), ('echo'), ('tremolo')) e(modification), (SELECT CAST(NULL AS DOUBLE) AS factor)
+  UNION ALL SELECT m, (84 + 2 * i) / 100.0::DOUBLE FROM (VALUES ('pitch_shift'), ('time_stretched'), ('speed_up')) g(m), range(17) r(i) WHERE i <> 8),
+x AS (SELECT resource_id, resource_id % 5 <> 0 AS in_index, {_BASE('path')} AS base, CAST(floor(duration) AS BIGINT) AS d, n FROM resource_metadata, (VALUES (10), (20)) l(n) WHERE duration >= n),
+y AS (SELECT *, resource_id % greatest(d - n, 1) AS start FROM x)
+SELECT resource_id, in_index, base || '_' || start || 's-' || (start + n) || 's' || CASE WHEN modification = 'reference' THEN '' ELSE '___' || modification || coalesce('_' || CAST(factor AS VARCHAR), '') END || '.mp3' AS query_name, modification, factor,
+  CASE WHEN modification = 'pitch_shift' THEN CAST(round(1200 * log2(factor)) AS INT) END AS cents FROM y, v""",
     "benchmark_speed": """WITH r AS (SELECT total_queries AS step, query_index % 2 = 0 AS store, round(sum(greatest(query_stop - query_start, 0)), 3) AS a, round(sum(coverage), 3) AS w FROM result_lines WHERE run_at IS NOT NULL AND query_start IS NOT NULL AND query_stop IS NOT NULL GROUP BY 1, 2),
 s AS (SELECT step, sum(CASE WHEN store THEN a END) AS a, sum(CASE WHEN store THEN w END) AS w, sum(CASE WHEN NOT coalesce(store, false) THEN a END) AS qa, sum(CASE WHEN NOT coalesce(store, false) THEN w END) AS qw FROM r GROUP BY step)
 SELECT step, round(sum(a) OVER (ORDER BY step ROWS UNBOUNDED PRECEDING), 6) AS cumulative_seconds, round(a / nullif(w, 0), 6) AS store_speed, round(qa / nullif(qw, 0), 6) AS query_speed FROM s""",

@@ -28,6 +28,13 @@ def admitted(spark: SparkSession, paths: list[str], max_size_mb: int = 6_000, su
     return reader.load(paths).select("path", "length").where((F.col("length") > 0) & (F.floor(F.col("length") / MAX_BYTES) < max_size_mb))
 
 
+def glob(spark: SparkSession, folder: str, pattern: str, recursive: bool = True) -> DataFrame:
+    """``path`` of the files in a folder whose whole name matches the regular expression, sorted; names only are read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    return reader.load(folder).select("path").where(name.rlike(f"^(?:{pattern})$")).orderBy("path")
+
+
 def listed(spark: SparkSession, arguments: list[str]) -> list[str]:
     """Paths of the arguments: options (``-x``) are skipped, a ``.txt`` file is a list with one path a line."""
     out: list[str] = []

@@ -193,3 +193,11 @@ def test_fallback_only_without_results(spark):
     (r,) = match.histogram_fallback(hits, none, CONSTANT_Q).collect()
     assert r.time_factor == 1 and r.score == 40
     assert match.histogram_fallback(hits, spark.createDataFrame([(9,)], "query_id int"), CONSTANT_Q).count() == 0
+
+
+def test_counts_equal_the_listed_hits(spark):
+    r = random.Random(8)
+    idx = postings(spark, [(r.randrange(40), r.randrange(4), i, 1) for i in range(300)])
+    q = prints(spark, [(r.randrange(3), r.choice([None, *range(40)]), i, 1) for i in range(60)])
+    listed = match.near_hash_join(q, idx, CONSTANT_Q).groupBy("query_id", "ref_id").count().where("count >= 10")
+    assert sorted(map(tuple, match.hit_counts(q, idx, CONSTANT_Q).collect())) == sorted(map(tuple, listed.collect()))

@@ -63,6 +63,17 @@ def test_engine_end_to_end(spark, sounds, tmp_path, strategy):
         assert e.stats().first().resources == 0
 
 
+def test_memory_index_and_caches(spark, sounds, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/ix", EngineConfig(storage="memory", cache_folder=f"file://{tmp_path}/cache"))
+    n = e.store([f"{sounds}/1.wav"]).first().num_fingerprints
+    assert e.query([f"{sounds}/q/100_10s-30s.wav"]).first().ref_id == 1 and e.stats().first().postings == n
+    other = Engine(spark, f"file://{tmp_path}/other")
+    other.load(f"file://{tmp_path}/cache/prints/*/*", f"file://{tmp_path}/cache/metadata")
+    assert other.stats().first().resources == 1 and 0 < other.stats().first().postings <= n
+    e.clear()
+    assert e.stats().first().resources == 0
+
+
 def test_histogram_strategy(spark, tmp_path):
     for name, hz in (("1", [261.63, 329.63, 392.0]), ("2", [277.18, 311.13, 466.16])):
         save(tmp_path / f"{name}.wav", np.concatenate([np.sin(2 * np.pi * f * np.arange(22_050) / 22_050) for f in hz for _ in range(2)]), 22_050)
@@ -107,6 +118,8 @@ def test_sliding_max():
 
 def test_admission_and_lists(spark, sounds, tmp_path):
     assert audio.admitted(spark, [str(sounds / "q")]).count() == 3 and audio.admitted(spark, [str(sounds)], max_size_mb=1).count() == 3
+    assert [r.path.split("/")[-1] for r in audio.glob(spark, str(sounds), r"\d\.wav").collect()] == ["1.wav", "2.wav", "3.wav"]
+    assert audio.glob(spark, str(sounds), r".*s\.wav").count() == 2 and audio.glob(spark, str(sounds), r"\d", recursive=False).count() == 0
     (tmp_path / "list.txt").write_text("a.wav\n\nb.wav\n")
     assert audio.listed(spark, ["-ep", "x.wav", f"{tmp_path}/list.txt"]) == ["x.wav", "a.wav", "b.wav"]
     (tmp_path / "bad.wav").write_bytes(b"not a wave file")
