@@ -1,8 +1,8 @@
 """The best N items of every group, by partition lower bounds.
 
 Each partition keeps, in one pass and in memory bounded by N times its groups, its own best N distinct items of each group. Its N-th
-item is a lower bound of the group: N distinct items at least as good exist. The best bound of each group is joined to the candidates, which drop out unless
-they reach it, and only the survivors are ranked. One shuffle on the group carries candidates, bounds and ranking.
+item is a lower bound of the group: N distinct items at least as good exist. The best bound of each group is joined to its candidates, which drop out unless
+they reach it, and only the survivors are ranked. One pass over the rows and one shuffle of the candidates on the group carry bounds, filter and ranking.
 """
 
 from __future__ import annotations
@@ -73,11 +73,12 @@ def top_n(df: DataFrame, group: str, score: str, ties: list[str], row_id: str, n
         F.col(group).alias("_g"), *order, F.col(row_id).cast("bigint").alias("_id"), F.xxhash64(F.lit(1), nulls, *cols).alias("_h1"), F.xxhash64(F.lit(2), nulls, *cols[::-1]).alias("_h2")
     )
     schema = T.StructType([*rows.schema.fields, T.StructField("_rank", T.IntegerType())])
-    best = rows.mapInArrow(lambda b: _local(b, n, 100_000), schema).repartition("_g")
+    best = rows.mapInArrow(lambda b: _local(b, n, 100_000), schema)
     names = [c for c in rows.columns if c[:2] in ("_k", "_i") and c != "_id"]
     place = F.struct(*names, "_id")
-    bounds = best.where(f"_rank = {n}").groupBy("_g").agg(F.min(place).alias("_bound"))
-    reach = best.join(bounds, "_g", "left").where(F.col("_bound").isNull() | (place <= F.col("_bound")))
+    # the group's best bound meets its candidates on the partitioning that the ranking needs anyway: a join without an exchange of its own
+    bound = F.min(F.when(F.col("_rank") == n, place)).over(W.partitionBy("_g"))
+    reach = best.withColumn("_bound", bound).where(F.col("_bound").isNull() | (place <= F.col("_bound")))
     items = reach.groupBy("_g", *names, "_h1", "_h2").agg(F.min("_id").alias("_id"))
     ranked = items.withColumn("rank", F.row_number().over(W.partitionBy("_g").orderBy(*names, "_id"))).where(F.col("rank") <= n)
     back = F.expr("~_k0") if isinstance(kind, T.IntegralType) else -F.col("_k0")
