@@ -92,6 +92,7 @@ def alignment(modes: DataFrame, config: AlgorithmConfig) -> DataFrame:
 
     The time factor is 1 / (1 - slope) for constant-Q and 1 - slope for the FFT; the frequency factor is the reference's over the query's frequency. ``exact_speed_ratio`` is 1 + slope.
     """
+    # also works on hits that carry their modes (:func:`with_modes`)
     x = modes.withColumn("slope", F.try_divide((F.col("y2") - F.col("y1")).cast("double"), (F.col("x2") - F.col("x1")).cast("double")))
     x = x.withColumn("offset", F.col("y1") - F.col("x1") * F.col("slope"))
     if config.kind == "constant_q":
@@ -106,9 +107,22 @@ def plausible(aligned: DataFrame, config: AlgorithmConfig) -> DataFrame:
     return aligned.where((c("time_factor") > config.min_time_factor) & (c("time_factor") < config.max_time_factor) & (c("freq_factor") > config.min_freq_factor) & (c("freq_factor") < config.max_freq_factor))
 
 
-def on_line(hits: DataFrame, aligned: DataFrame, config: AlgorithmConfig) -> DataFrame:
-    """Hits within ``query_range`` of their pair's line, with its parameters."""
-    return hits.join(aligned, list(PAIR)).where(F.abs(F.col("delta_t") - (F.col("slope") * F.col("query_time") + F.col("offset"))) <= config.query_range)
+def with_modes(parts: DataFrame) -> DataFrame:
+    """Hits with the columns of :func:`modal_deltas` beside them, by windows on the pair: no second use of the hits and no exchange."""
+    d, p = W.partitionBy(*PAIR, "delta_t"), W.partitionBy(*PAIR)
+    count = lambda flag: F.sum(F.col(flag).cast("int")).over(d)
+    x = parts.withColumns({
+        "_n1": count("in_first"), "_n2": count("in_last"),
+        "_a": F.min(F.when(F.col("in_first"), F.struct("rn", "query_time", "match_f1", "query_f1"))).over(d), "_b": F.max(F.when(F.col("in_last"), F.struct("rn", "query_time"))).over(d),
+    })
+    best = lambda n, v: F.max(F.struct(F.col(n).alias("n"), (-F.col("delta_t")).alias("d"), F.col(v).alias("v"))).over(p)
+    x = x.withColumns({"_p": best("_n1", "_a"), "_q": best("_n2", "_b")})
+    return x.withColumns({"y1": -F.col("_p.d"), "x1": F.col("_p.v.query_time"), "y2": -F.col("_q.d"), "x2": F.col("_q.v.query_time"), "first_f1": F.col("_p.v.match_f1"), "first_query_f1": F.col("_p.v.query_f1")}).drop("_n1", "_n2", "_a", "_b", "_p", "_q")
+
+
+def on_line(aligned: DataFrame, config: AlgorithmConfig) -> DataFrame:
+    """Aligned hits within ``query_range`` of their pair's line."""
+    return aligned.where(F.abs(F.col("delta_t") - (F.col("slope") * F.col("query_time") + F.col("offset"))) <= config.query_range)
 
 
 def summarize(hits: DataFrame, config: AlgorithmConfig) -> DataFrame:
@@ -143,8 +157,7 @@ def histogram_fallback(hits: DataFrame, found: DataFrame, config: AlgorithmConfi
 def results(hits: DataFrame, config: AlgorithmConfig) -> DataFrame:
     """All valid results of all queries, unranked."""
     kept = enough_hits(hits, config)
-    aligned = plausible(alignment(modal_deltas(hit_parts(kept, config)), config), config)
-    out = summarize(on_line(kept, aligned, config), config)
+    out = summarize(on_line(plausible(alignment(with_modes(hit_parts(kept, config)), config), config), config), config)
     return out.unionByName(histogram_fallback(kept, out, config)) if config.fallback_to_histogram else out
 
 

@@ -49,11 +49,17 @@ def key_profile(df: DataFrame, key: str, partner: str, value: str, heavy: DataFr
     return hot.unionByName(rest).withColumnRenamed("_k", key)
 
 
-def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner", share: float = 0.005) -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner", share: float = 0.005, least_bytes: int | None = None) -> DataFrame:
     """``left.join(right, key, how)`` ('inner' or 'left') where ``right`` has at most one row a key and a few keys may hold most rows of ``left``.
 
     Rows of the keys above ``share`` of ``left`` meet their partners by broadcast - at most MOST_HEAVY rows - and stay where they are; all others take an ordinary join. ``left`` is read more than once, so pass a stored table.
+    A table smaller than what adaptive execution calls a skewed partition (or ``least_bytes``) can't hold one, and is joined in the ordinary way; the rows are the same.
     """
+    spark = left.sparkSession
+    if least_bytes is None:
+        least_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes"))
+    if int(str(left._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < least_bytes:
+        return left.join(right, key, how)
     heavy = heavy_keys(left, [key], share)[0][key]
     if not heavy:
         return left.join(right, key, how)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,11 @@ from echolattice.config import FFT
 from echolattice.functions import hashing, names, units
 from echolattice.functions.murmur import file_hash, murmur32
 from echolattice.operators import dedup, evaluate, fingerprints, index, match, monitor, pch, peaks
+from echolattice.runtime import shared_dir, written
 from echolattice.sources import audio, cachefiles, fixtures
 from echolattice.sources.fixtures import BANDS, SMALL
 from echolattice.sources.tables import table, trimmed
+from echolattice.streaming import monitor as live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,16 +35,24 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-def _hits(spark: SparkSession, folder: str, avoid: DataFrame | None = None) -> DataFrame:
-    return match.near_hash_join(fixtures.query_prints(spark, folder), fixtures.index(spark, folder), SMALL, avoid)
+def _points(spark: SparkSession, folder: str) -> DataFrame:
+    """The event points, stored once: queries and index are both made of them."""
+    return written(fixtures.points(spark, folder), "points")
+
+
+def _hits(spark: SparkSession, folder: str, avoid_own: bool = False) -> DataFrame:
+    x = _points(spark, folder)
+    asked = fixtures.query_prints(x)
+    avoid = asked.select("query_id", (F.col("query_id") % 100).alias("resource_id")).distinct() if avoid_own else None
+    return match.near_hash_join(asked, fixtures.index(x), SMALL, avoid)
 
 
 def _kept(spark: SparkSession, folder: str) -> DataFrame:
     return match.enough_hits(_hits(spark, folder), SMALL)
 
 
-def _aligned(spark: SparkSession, folder: str) -> DataFrame:
-    return match.plausible(match.alignment(match.modal_deltas(match.hit_parts(_kept(spark, folder), SMALL)), SMALL), SMALL)
+def _parts(spark: SparkSession, folder: str) -> DataFrame:
+    return match.hit_parts(_kept(spark, folder), SMALL)
 
 
 def _results(spark: SparkSession, folder: str) -> DataFrame:
@@ -184,8 +195,7 @@ def near_hash_join(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def near_hash_avoid(spark: SparkSession, folder: str) -> DataFrame:
-    q = fixtures.query_prints(spark, folder)
-    return _hits(spark, folder, q.select("query_id", (F.col("query_id") % 100).alias("resource_id")).distinct()).groupBy("query_id", "ref_id").agg(F.count(F.lit(1)).alias("hits"))
+    return _hits(spark, folder, avoid_own=True).groupBy("query_id", "ref_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
 @query
@@ -203,24 +213,24 @@ def hits_per_reference(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def hit_parts(spark: SparkSession, folder: str) -> DataFrame:
-    x = match.hit_parts(_kept(spark, folder), SMALL)
-    return x.select("query_id", "ref_id", "rn", "n_hits", "part_size", "in_first", "in_last", "query_time", "delta_t")
+    return _parts(spark, folder).select("query_id", "ref_id", "rn", "n_hits", "part_size", "in_first", "in_last", "query_time", "delta_t")
 
 
 @query
 def modal_delta(spark: SparkSession, folder: str) -> DataFrame:
-    return match.modal_deltas(match.hit_parts(_kept(spark, folder), SMALL)).select("query_id", "ref_id", "y1", "x1", "y2", "x2")
+    return match.modal_deltas(_parts(spark, folder)).select("query_id", "ref_id", "y1", "x1", "y2", "x2")
 
 
 @query
 def time_factor(spark: SparkSession, folder: str) -> DataFrame:
-    x = match.alignment(match.modal_deltas(match.hit_parts(_kept(spark, folder), SMALL)), SMALL)
+    x = match.alignment(match.modal_deltas(_parts(spark, folder)), SMALL)
     return rounded(x.select("query_id", "ref_id", "slope", "offset", "time_factor", "freq_factor", "exact_speed_ratio"), "slope", "offset", "time_factor", "freq_factor", "exact_speed_ratio")
 
 
 @query
 def linear_filter(spark: SparkSession, folder: str) -> DataFrame:
-    return match.on_line(_kept(spark, folder), _aligned(spark, folder), SMALL).select("query_id", "ref_id", "query_time", "match_time", "hash", "near_hash")
+    aligned = match.plausible(match.alignment(match.with_modes(_parts(spark, folder)), SMALL), SMALL)
+    return match.on_line(aligned, SMALL).select("query_id", "ref_id", "query_time", "match_time", "hash", "near_hash")
 
 
 @query
@@ -241,7 +251,8 @@ def topk_results(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def histogram_fallback(spark: SparkSession, folder: str) -> DataFrame:
     kept = _kept(spark, folder)
-    return rounded(match.histogram_fallback(kept, _results(spark, folder).where("query_id < 100"), SMALL), *RESULT)
+    found = written(_results(spark, folder), "found")
+    return rounded(match.histogram_fallback(kept, found.where("query_id < 100"), SMALL), *RESULT)
 
 
 @query
@@ -253,7 +264,7 @@ def metadata_join(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def empty_results(spark: SparkSession, folder: str) -> DataFrame:
     found = match.ranked(_results(spark, folder), 1000).where("ref_id <> query_id % 100")
-    asked = fixtures.query_prints(spark, folder).select("query_id").distinct().withColumn("query_path", F.concat(F.lit("query/"), F.col("query_id").cast("string"), F.lit(".wav")))
+    asked = fixtures.query_prints(_points(spark, folder)).select("query_id").distinct().withColumn("query_path", F.concat(F.lit("query/"), F.col("query_id").cast("string"), F.lit(".wav")))
     return rounded(match.with_empty(asked, found), *RESULT)
 
 
@@ -270,7 +281,7 @@ def _lasting(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, folder: str) -> DataFrame:
-    return fingerprints.fingerprints(fixtures.points(spark, folder), SMALL).select("hash", "resource_id", "t1", "f1")
+    return written(fixtures.index(fixtures.points(spark, folder)), "stored")
 
 
 @query
@@ -485,17 +496,12 @@ def stft_peaks(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def streaming_monitor(spark: SparkSession, folder: str) -> DataFrame:
     """The stored prints as a stream: a frame is a second of event time; the windows that closed, matched against the index."""
-    import uuid
-
-    from echolattice.runtime import shared_dir, written
-    from echolattice.streaming import monitor as live
-
     base = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
-    prints = _stored(spark, folder).withColumn("at", F.timestamp_seconds(F.col("t1")))
+    stored = _stored(spark, folder)
+    prints = stored.withColumn("at", F.timestamp_seconds(F.col("t1")))
     closing = prints.select("resource_id", F.lit(-1).cast("bigint").alias("hash"), F.lit(0).alias("t1"), F.lit(0).alias("f1"), F.timestamp_seconds(F.lit(100_000)).alias("at")).distinct()
     prints.select("resource_id", "hash", "t1", "f1", "at").write.parquet(f"{base}/in/0")
     closing.write.parquet(f"{base}/in/1")
-    stored = written(_stored(spark, folder), "stored")
     stream = spark.readStream.schema(closing.schema).option("maxFilesPerTrigger", 1000).parquet(f"{base}/in/*")
 
     def sink(found: DataFrame, batch: int) -> None:

@@ -35,12 +35,12 @@ def perturbed(x: DataFrame) -> DataFrame:
     return x.select(F.inline(F.array_compact(rows)), "m").select(F.col("query_id").alias("resource_id"), F.col("qt").alias("t"), F.col("qf").alias("f"), "m")
 
 
-def query_prints(spark: SparkSession, folder: str) -> DataFrame:
-    return fingerprints(perturbed(points(spark, folder)), SMALL).select(F.col("resource_id").alias("query_id"), "hash", "t1", "f1")
+def query_prints(points: DataFrame) -> DataFrame:
+    return fingerprints(perturbed(points), SMALL).select(F.col("resource_id").alias("query_id"), "hash", "t1", "f1")
 
 
-def index(spark: SparkSession, folder: str) -> DataFrame:
-    return fingerprints(points(spark, folder), SMALL).select("hash", "resource_id", "t1", "f1")
+def index(points: DataFrame) -> DataFrame:
+    return fingerprints(points, SMALL).select("hash", "resource_id", "t1", "f1")
 
 
 def volume_points(spark: SparkSession, folder: str) -> DataFrame:

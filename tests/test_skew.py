@@ -36,6 +36,6 @@ def test_join_with_hot_keys(spark):
     left = spark.createDataFrame([(1, i) for i in range(300)] + [(i, i) for i in range(2, 40)] + [(None, 0)], "k int, v int")
     right = spark.createDataFrame([(i, f"n{i}") for i in range(1, 30)], "k int, name string")
     for how in ("inner", "left"):
-        got, want = (sorted(map(str, x.select("k", "v", "name").collect())) for x in (join_unique(left, right, "k", how, share=0.1), left.join(right, "k", how)))
+        got, want = (sorted(map(str, x.select("k", "v", "name").collect())) for x in (join_unique(left, right, "k", how, share=0.1, least_bytes=0), left.join(right, "k", how)))
         assert got == want
-    assert join_unique(left.limit(0), right, "k").count() == 0
+    assert join_unique(left.limit(0), right, "k", least_bytes=0).count() == 0 and join_unique(left, right, "k").count() == 328
