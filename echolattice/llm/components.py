@@ -46,7 +46,7 @@ def seeds(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     """``v, seed`` of each vertex that isn't itself the smallest of its component, from links ``a, b`` (BIGINT, non-null): that smallest vertex. Seeds and vertices without a link have no row."""
     both = links.where("a <> b").select(F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))).distinct()
     graph = Written(both, "links")
-    forest: list[Written] = []
+    forest: list[DataFrame] = []
     while not graph.df.isEmpty():
         if len(forest) == most_rounds:
             raise RuntimeError(f"links remain after {most_rounds} rounds")
@@ -54,9 +54,9 @@ def seeds(links: DataFrame, most_rounds: int = 100) -> DataFrame:
         least = g.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         told = join_unique(g, least, "u").select("v", "m").unionByName(least.select(F.col("u").alias("v"), "m")).distinct()
         told = Written(told, "told")
-        mine = told.df.groupBy("v").agg(F.min("m").alias("low"), F.max(F.col("m") == F.col("v")).alias("stays"))
-        forest.append(Written(mine.where("NOT stays").select("v", F.col("low").alias("parent")), "forest"))
-        linked = join_unique(told.df, mine.select("v", "low"), "v").where("m <> low").select(F.inline(F.array(F.struct(F.col("m").alias("u"), F.col("low").alias("v")), F.struct(F.col("low").alias("u"), F.col("m").alias("v"))))).distinct()
+        mine = Written(told.df.groupBy("v").agg(F.min("m").alias("low"), F.max(F.col("m") == F.col("v")).alias("stays")), "forest")
+        forest.append(mine.df.where("NOT stays").select("v", F.col("low").alias("parent")))
+        linked = join_unique(told.df, mine.df.select("v", "low"), "v").where("m <> low").select(F.inline(F.array(F.struct(F.col("m").alias("u"), F.col("low").alias("v")), F.struct(F.col("low").alias("u"), F.col("m").alias("v"))))).distinct()
         rest = Written(linked, "links")
         graph.drop()
         told.drop()
@@ -65,9 +65,9 @@ def seeds(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     known = None
     for level in reversed(forest):
         # parents without an entry were never dropped: they are the seeds
-        below = level.df.select("v", F.col("parent").alias("seed")) if known is None else join_unique(level.df, known.select(F.col("v").alias("parent"), "seed"), "parent", "left").select("v", F.coalesce("seed", "parent").alias("seed"))
+        below = level.select("v", F.col("parent").alias("seed")) if known is None else join_unique(level, known.select(F.col("v").alias("parent"), "seed"), "parent", "left").select("v", F.coalesce("seed", "parent").alias("seed"))
         known = below if known is None else known.unionByName(below)
-        if len(forest) > 3 and level is not forest[0]:
+        if level is not forest[0]:
             known = Written(known, "known").df
     if known is None:
         return spark.createDataFrame([], "v bigint, seed bigint")
