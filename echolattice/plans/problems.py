@@ -67,7 +67,7 @@ _NUM = lambda i: f"CAST(regexp_extract(f[{i}], '-?[0-9]+(\\.[0-9]+)?') AS DOUBLE
 
 ORACLE = {
     "p3_found": f"""
-WITH v AS (SELECT * FROM ({_SIDES}) WHERE s < t),
+WITH v AS (SELECT DISTINCT * FROM ({_SIDES}) WHERE s < t),
 m AS (SELECT *, max(t) OVER (PARTITION BY side, item_path ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM v),
 g AS (SELECT *, sum(CASE WHEN seen IS NULL OR s > seen THEN 1 ELSE 0 END) OVER (PARTITION BY side, item_path ORDER BY s, t ROWS UNBOUNDED PRECEDING) AS island FROM m),
 p AS (SELECT side, item_path, min(s) AS start_ms, max(t) AS stop_ms FROM g GROUP BY side, item_path, island),
