@@ -11,6 +11,14 @@ from echolattice.functions.units import ratio_to_cent
 from echolattice.operators.skew import join_unique
 
 
+def with_in_index(results: DataFrame, resources: DataFrame) -> DataFrame:
+    """The first result of each query path (``query_path, ref_path, rank``) with ``in_index``: whether the base name of the query is that of a ``path`` in ``resources``."""
+    first = results.groupBy("query_path").agg(F.min_by("ref_path", "rank").alias("ref_path"), F.min("rank").alias("rank"))
+    known = resources.where("path IS NOT NULL").select(basename(F.col("path")).alias("_base")).distinct().withColumn("in_index", F.lit(True))
+    x = first.withColumn("_base", evaluation_name(F.col("query_path"))["base"]).join(known, "_base", "left")
+    return x.select("query_path", "ref_path", "rank", F.coalesce("in_index", F.lit(False)).alias("in_index"))
+
+
 def outcomes(results: DataFrame) -> DataFrame:
     """One row a query path: modification, factor, and its outcome from ``query_path, ref_path, rank, in_index``: tp if the first match is the right recording, fp if it is another, fn or tn without a match."""
     parts = evaluation_name(F.col("query_path"))

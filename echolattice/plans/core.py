@@ -417,7 +417,8 @@ def symmetric_pairs(spark: SparkSession, folder: str) -> DataFrame:
 def _evaluated(spark: SparkSession, folder: str) -> DataFrame:
     x = table(spark, folder, "result_lines").where(F.col("query_path").rlike(r"_\d+s-\d+s"))
     place = F.struct(-F.coalesce("match_score", F.lit(-1)), "line_id")
-    return x.select(trimmed("query_path").alias("query_path"), trimmed("ref_path").alias("ref_path"), place.alias("rank"), F.lit(True).alias("in_index"))
+    x = x.select(trimmed("query_path").alias("query_path"), trimmed("ref_path").alias("ref_path"), place.alias("rank"))
+    return evaluate.with_in_index(x, table(spark, folder, "resource_metadata").select(trimmed("path").alias("path")))
 
 
 @query

@@ -23,3 +23,11 @@ def test_best_shift_of_all_stated_queries_in_all_bins(spark, tmp_path):
     got = catalog.QUERIES["pch_best_shift"](spark, str(tmp_path)).collect()
     assert {(x.query_id, x.ref_id): (x.match, x["shift"]) for x in got} == want and max(s for _, s in want.values()) > 24
     assert sorted(x.rank for x in got if x.query_id == 50) == [1, 2, 3, 4, 5]
+
+
+def test_queries_held_out_of_the_index_are_tn(spark, tmp_path):
+    lines = [(1, "q/7_0s-10s___echo.mp3", "a/7.mp3", 9), (2, "q/7_0s-10s___echo.mp3", "a/8.mp3", 4), (3, "q/7_5s-15s___echo.mp3", None, None), (4, "q/9_0s-10s___echo.mp3\t", None, None), (5, "q/9_5s-15s___echo.mp3", "a/8.mp3", 3)]
+    spark.createDataFrame(lines, "line_id long, query_path string, ref_path string, match_score long").write.parquet(f"{tmp_path}/result_lines.parquet")
+    spark.createDataFrame([(7, "a/7.mp3"), (70, "b/7.wav"), (8, " a/8.mp3"), (1, None)], "resource_id int, path string").write.parquet(f"{tmp_path}/resource_metadata.parquet")
+    (r,) = catalog.QUERIES["evaluation_matrix"](spark, str(tmp_path)).collect()
+    assert tuple(r) == ("echo", None, 4, 0.25, 0.25, 0.25, 0.25)
