@@ -301,6 +301,12 @@ def dedup_exact_documents(spark: SparkSession, folder: str) -> DataFrame:
     return dedup.content_groups(table(spark, folder, "documents"), "doc_id", "text")
 
 
+@query
+def dedup_exact_members(spark: SparkSession, folder: str) -> DataFrame:
+    """One row a document that has an exact copy; ``first_key`` is the id of its class."""
+    return dedup.content_members(table(spark, folder, "documents"), "doc_id", "text")
+
+
 @query
 def same_score(spark: SparkSession, folder: str) -> DataFrame:
     x = _stored(spark, folder)

@@ -31,3 +31,22 @@ def test_queries_held_out_of_the_index_are_tn(spark, tmp_path):
     spark.createDataFrame([(7, "a/7.mp3"), (70, "b/7.wav"), (8, " a/8.mp3"), (1, None)], "resource_id int, path string").write.parquet(f"{tmp_path}/resource_metadata.parquet")
     (r,) = catalog.QUERIES["evaluation_matrix"](spark, str(tmp_path)).collect()
     assert tuple(r) == ("echo", None, 4, 0.25, 0.25, 0.25, 0.25)
+
+
+def test_each_copy_of_a_document_is_listed_and_a_hot_group_is_split(spark, tmp_path):
+    rows = [(i, "hot" if i % 3 == 0 else f"t{i // 2}" if i < 30 else f"u{i}") for i in range(300)] + [(300, None), (301, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    groups = defaultdict(list)
+    for i, t in rows[:300]:
+        groups[t].append(i)
+    want = sorted((i, min(g), len(g)) for g in groups.values() if len(g) > 1 for i in g)
+    name = "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes"
+    for least, split in (("1b", True), ("1g", False)):
+        before = spark.conf.get(name)
+        spark.conf.set(name, least)
+        try:
+            found = catalog.QUERIES["dedup_exact_members"](spark, str(tmp_path))
+            assert sorted((x.doc_id, x.first_key, x.members) for x in found.collect()) == want and len(want) > 100
+            assert ("LeftAnti" in found._jdf.queryExecution().optimizedPlan().toString()) == split
+        finally:
+            spark.conf.set(name, before)
