@@ -446,8 +446,8 @@ def benchmark_speed(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def result_line_print(spark: SparkSession, folder: str) -> DataFrame:
-    x = table(spark, folder, "dedup_lines").where("query_path IS NOT NULL AND line_id IS NOT NULL")
-    return cachefiles.result_lines(x.withColumns({"query_index": F.lit(1), "total_queries": F.lit(1)})).distinct()
+    x = table(spark, folder, "dedup_lines").where("query_path IS NOT NULL")
+    return cachefiles.result_lines(x.withColumns({"query_index": F.lit(1), "total_queries": F.lit(1)}), "line_id")
 
 
 # --- names, units, hashes of content

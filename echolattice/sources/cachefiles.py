@@ -48,14 +48,14 @@ HEADER = "Index; Total ; Query path;Query start (s);Query stop (s); Match path;M
 RESULT_FORMAT = "%s ; %s ; %s ; %.3f ; %.3f ; %s ; %s ; %.3f ; %.3f ; %d ; %.3f %% ; %.3f %%; %.2f"
 
 
-def result_lines(results: DataFrame) -> DataFrame:
-    """``line``: thirteen fields separated by ``;``. ``results`` has query_index, total_queries, query_path, query_start, query_stop, ref_path, ref_id, ref_start, ref_stop, match_score, time_factor, frequency_factor, coverage; nulls print as ``null``."""
+def result_lines(results: DataFrame, *keep: str) -> DataFrame:
+    """``line``: thirteen fields separated by ``;``, beside the columns ``keep``. ``results`` has query_index, total_queries, query_path, query_start, query_stop, ref_path, ref_id, ref_start, ref_stop, match_score, time_factor, frequency_factor, coverage; nulls print as ``null``."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     line = F.format_string(
         RESULT_FORMAT,
         text("query_index"), text("total_queries"), text("query_path"), "query_start", "query_stop", text("ref_path"), text("ref_id"), "ref_start", "ref_stop", "match_score", "time_factor", "frequency_factor", "coverage",
     )
-    return results.select(line.alias("line"))
+    return results.select(*keep, line.alias("line"))
 
 
 def event_point_table(points: DataFrame, config: AlgorithmConfig, hertz: Column) -> DataFrame:

@@ -50,3 +50,11 @@ def test_each_copy_of_a_document_is_listed_and_a_hot_group_is_split(spark, tmp_p
             assert ("LeftAnti" in found._jdf.queryExecution().optimizedPlan().toString()) == split
         finally:
             spark.conf.set(name, before)
+
+
+def test_repeated_results_are_printed_each(spark, tmp_path):
+    row = ("q.wav", 0.0, 5.0, "r.wav", 3, 1.0, 6.0, 12, 1.0, 1.0, 0.5)
+    kinds = "query_path string, query_start double, query_stop double, ref_path string, ref_id int, ref_start double, ref_stop double, match_score long, time_factor double, frequency_factor double, coverage double"
+    spark.createDataFrame([(1, *row), (2, *row), (None, *row)], f"line_id long, {kinds}").write.parquet(f"{tmp_path}/dedup_lines.parquet")
+    got = catalog.QUERIES["result_line_print"](spark, str(tmp_path)).collect()
+    assert Counter(x.line_id for x in got) == Counter([1, 2, None]) and len({x.line for x in got}) == 1
