@@ -252,7 +252,7 @@ def topk_results(spark: SparkSession, folder: str) -> DataFrame:
 def histogram_fallback(spark: SparkSession, folder: str) -> DataFrame:
     kept = _kept(spark, folder)
     found = written(_results(spark, folder), "found")
-    return rounded(match.histogram_fallback(kept, found.where("query_id < 100"), SMALL), *RESULT)
+    return rounded(match.histogram_fallback(kept, found, SMALL), *RESULT)
 
 
 @query

@@ -3,7 +3,10 @@
 from collections import Counter, defaultdict
 from math import floor, log2
 
-from echolattice.plans import catalog
+from pyspark.sql import functions as F
+
+from echolattice.operators import match
+from echolattice.plans import catalog, core
 
 
 def test_best_shift_of_all_stated_queries_in_all_bins(spark, tmp_path):
@@ -58,3 +61,12 @@ def test_repeated_results_are_printed_each(spark, tmp_path):
     spark.createDataFrame([(1, *row), (2, *row), (None, *row)], f"line_id long, {kinds}").write.parquet(f"{tmp_path}/dedup_lines.parquet")
     got = catalog.QUERIES["result_line_print"](spark, str(tmp_path)).collect()
     assert Counter(x.line_id for x in got) == Counter([1, 2, None]) and len({x.line for x in got}) == 1
+
+
+def test_fallback_leaves_queries_with_results_alone(spark, monkeypatch):
+    stored = spark.createDataFrame([(i * 10, 1, 100 + i + i * 7 % 4, 3) for i in range(40)], "hash bigint, resource_id int, t1 int, f1 int")
+    asked = spark.createDataFrame([(q, i * 10, i, 3) for q in (5, 105, 205) for i in range(40)], "query_id int, hash bigint, t1 int, f1 int")
+    kept = match.enough_hits(match.near_hash_join(asked, stored, core.SMALL), core.SMALL)
+    monkeypatch.setattr(core, "_kept", lambda *_: kept)
+    monkeypatch.setattr(core, "_results", lambda *_: spark.createDataFrame([(105, 1)], "query_id int, ref_id int"))
+    assert sorted(x.query_id for x in core.histogram_fallback(spark, "").collect()) == [5, 205]
