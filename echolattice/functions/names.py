@@ -85,6 +85,7 @@ def window_label(path: Column, start: Column, stop: Column) -> Column:
 
 
 def complete(words: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """``prefix, word``: the only word that begins with a prefix, null if there is none or more than one. ``words (word)`` is the small registry of commands."""
-    hit = prefixes.join(F.broadcast(words.limit(10_000)), F.col("word").startswith(F.col("prefix")), "left")
-    return hit.groupBy("prefix").agg(F.when(F.count_distinct("word") == 1, F.max("word")).alias("word"))
+    """``prefix, word``: the only word that begins with a prefix, null if there is none or more than one. Each word of ``words (word)`` is met by equality with all its beginnings, however many words there are."""
+    starts = words.select("word", F.explode(F.transform(F.sequence(F.lit(0), F.length("word")), lambda n: F.substring("word", F.lit(1), n))).alias("prefix"))
+    only = starts.groupBy("prefix").agg(F.min("word").alias("word"), F.max("word").alias("_last"))
+    return prefixes.select("prefix").distinct().join(only, "prefix", "left").select("prefix", F.when(F.col("word") == F.col("_last"), F.col("word")).alias("word"))

@@ -6,6 +6,7 @@ from math import floor, log2
 from pyspark.sql import functions as F
 
 from echolattice.operators import match
+from echolattice.functions import names
 from echolattice.plans import catalog, core
 
 
@@ -70,3 +71,11 @@ def test_fallback_leaves_queries_with_results_alone(spark, monkeypatch):
     monkeypatch.setattr(core, "_kept", lambda *_: kept)
     monkeypatch.setattr(core, "_results", lambda *_: spark.createDataFrame([(105, 1)], "query_id int, ref_id int"))
     assert sorted(x.query_id for x in core.histogram_fallback(spark, "").collect()) == [5, 205]
+
+
+def test_prefixes_among_more_than_ten_thousand_words(spark):
+    words = spark.range(10_500).select(F.format_string("w%05d", "id").alias("word")).union(spark.createDataFrame([("z",), ("z",), (None,), ("été",)], "word string"))
+    prefixes = spark.createDataFrame([("",), ("w",), ("w10499",), ("w1049",), ("z",), ("ét",), ("zz",), (None,), ("z",)], "prefix string")
+    want = {"": None, "w": None, "w10499": "w10499", "w1049": None, "z": "z", "ét": "été", "zz": None, None: None}
+    got = names.complete(words, prefixes).collect()
+    assert dict(map(tuple, got)) == want and len(got) == len(want)
