@@ -43,9 +43,11 @@ def scan_states(symbols: np.ndarray, chunk: int = 512) -> np.ndarray:
     reach = np.repeat(np.arange(k, dtype=np.uint8)[:, None], blocks, 1)
     for row in grid:
         reach = flat[reach * np.uint8(5) + row]
-    begin = np.zeros(blocks, np.uint8)
-    for b in range(1, blocks):
-        begin[b] = reach[begin[b - 1], b - 1]
+    ahead = 1
+    while ahead < blocks:  # compositions over 1, 2, 4, ... chunks, until each reaches back to the first
+        reach[:, ahead:] = np.take_along_axis(reach[:, ahead:], reach[:, :-ahead], 0)
+        ahead *= 2
+    begin = np.append(np.zeros(1, np.uint8), reach[START, :-1])
     before = np.empty_like(grid)
     state = begin
     for j, row in enumerate(grid):
@@ -54,18 +56,14 @@ def scan_states(symbols: np.ndarray, chunk: int = 512) -> np.ndarray:
     return before.T.reshape(-1)[:n]
 
 
-def tokenize(lines: pa.Array, width: int, sep: str, quote: str) -> tuple[pa.Array, pa.Array, list[str | None], np.ndarray]:
+def tokenize(lines: pa.Array, width: int, sep: str, quote: str) -> tuple[pa.Array, pa.Array, pa.Array, np.ndarray]:
     """Of each line: its ``width`` fields and the byte offsets where they begin (empty lists if it fails), the reason, the byte offset of the failure."""
-    lines = lines.cast(pa.large_binary())
-    count = len(lines)
     null = lines.is_null().to_numpy(zero_copy_only=False)
+    lines = lines.fill_null("").cast(pa.large_binary())
+    count = len(lines)
     offs = np.frombuffer(lines.buffers()[1], np.int64, count + 1, lines.offset * 8)
-    size = np.where(null, 0, np.diff(offs))
-    text = np.frombuffer(lines.buffers()[2] or b"", np.uint8)
-    if null.any():
-        text = np.concatenate([np.zeros(0, np.uint8), *(text[offs[i] : offs[i + 1]] for i in range(count) if not null[i])])
-    else:
-        text = text[offs[0] : offs[-1]]
+    size = np.diff(offs)
+    text = np.frombuffer(lines.buffers()[2] or b"", np.uint8)[offs[0] : offs[-1]]
     ends = np.cumsum(size + 1) - 1  # place of each line's end symbol
     begins = ends - size
     data = np.zeros(len(text) + count, np.uint8)
@@ -92,15 +90,11 @@ def tokenize(lines: pa.Array, width: int, sep: str, quote: str) -> tuple[pa.Arra
     owner = line[where]
     fields = np.bincount(owner, minlength=count)
     good = ~quoting & (fields == width) & ~null
-    reason: list[str | None] = [None] * count
-    place = np.full(count, -1, np.int64)
     first_cut = np.cumsum(fields) - fields
-    for i in np.flatnonzero(~good):
-        if quoting[i]:
-            reason[i], place[i] = "quoting", (size[i] if unclosed[i] else entering[i] - begins[i])
-        else:
-            reason[i] = "columns"
-            place[i] = size[i] if fields[i] < width else where[first_cut[i] + width - 1] - begins[i]
+    surplus = where[np.minimum(first_cut + width - 1, len(where) - 1)] - begins  # the separator after the last field a line may have
+    place = np.where(quoting, np.where(unclosed, size, entering - begins), np.where(fields < width, size, surplus))
+    place[good] = -1
+    reason = pa.array(["quoting", "columns"]).take(pa.array(np.where(quoting, 0, 1), mask=good))
 
     # bytes that belong to values: content symbols, no separators, no surrounding blanks, no delimiting quotes
     value = (state == QUOTED) & (symbols != QUOTE) & ~is_end
@@ -137,7 +131,7 @@ def split_records(df: DataFrame, keys: list[str], text: str, width: int, sep: st
             if b.num_rows:
                 fields, starts, reason, place = tokenize(b.column(n), width, sep, quote)
                 at = pa.array(place.astype(np.int32), mask=place < 0)
-                yield pa.RecordBatch.from_arrays([*b.columns[:n], fields, starts, pa.array(reason, pa.string()), at], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], fields, starts, reason, at], names=schema.names)
 
     return df.select(*keys, text).mapInArrow(run, schema)
 
@@ -156,9 +150,9 @@ def _typed(x: Column, kind: str) -> tuple[Column, Column]:
     if kind == "path":
         return x, F.btrim(x, F.lit(" \t\r")) != ""
     if kind in ("int", "bigint", "id"):
-        v = F.when(x.rlike(r"^-?[0-9]+$"), x).try_cast("bigint" if kind == "bigint" else "int")
+        v = F.when(x.rlike(r"^-?[0-9]+\z"), x).try_cast("bigint" if kind == "bigint" else "int")
         return v, v.isNotNull() | (x == "null" if kind == "id" else F.lit(False))
-    number = F.regexp_extract(x, rf"^({_NUMBER})[ \t\r]*%?$", 1) if kind == "factor" else F.regexp_extract(x, rf"^({_NUMBER})$", 1)
+    number = F.regexp_extract(x, rf"^({_NUMBER})[ \t\r]*%?\z", 1) if kind == "factor" else F.regexp_extract(x, rf"^({_NUMBER})\z", 1)
     v = F.when(number != "", number).try_cast("double")
     return v, F.coalesce(F.abs(v) < F.lit(float("inf")), F.lit(False))
 

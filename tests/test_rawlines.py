@@ -64,7 +64,7 @@ def test_random_lines(seed):
     lines = ["".join(r.choice('a"; \t\ré"";b') for _ in range(r.randrange(0, 14))) for _ in range(3000)]
     for width in (1, 2, 3):
         fields, starts, reason, place = tokenize(pa.array(lines), width, ";", '"')
-        for line, f, s, why, at in zip(lines, fields.to_pylist(), starts.to_pylist(), reason, place):
+        for line, f, s, why, at in zip(lines, fields.to_pylist(), starts.to_pylist(), reason.to_pylist(), place):
             want = brute(line, width)
             assert (why or f) == want, (line, why, f, want)
             assert (at >= 0) == (why is not None) and at <= len(line.encode())
@@ -75,7 +75,7 @@ def test_nulls_slices_and_long_lines():
     long = '"' + "x;" * 300_000 + '"'
     lines = pa.array(["drop", None, "", long, "a;b"])[1:]
     fields, _, reason, _ = tokenize(lines, 1, ";", '"')
-    assert reason == ["columns", None, None, "columns"] and fields.to_pylist()[1:3] == [[""], ["x;" * 300_000]]
+    assert reason.to_pylist() == ["columns", None, None, "columns"] and fields.to_pylist()[1:3] == [[""], ["x;" * 300_000]]
 
 
 def test_typed_lines_and_reasons(spark):
@@ -84,6 +84,7 @@ def test_typed_lines_and_reasons(spark):
         (GOOD, None), (change(6, "null"), None), (change(9, '"40"'), None), (change(2, '"a; ""b"" "'), None), (change(10, "-1.000 %"), None), (change(10, "5"), None),
         (change(2, '""'), "value"), (change(2, '"  "'), "value"), (change(9, "1_0"), "value"), (change(9, "+4"), "value"), (change(0, "2147483648"), "value"), (change(9, "9223372036854775808"), "value"),
         (change(9, "9223372036854775807"), None), (change(3, "1e3"), "value"), (change(3, ".5"), "value"), (change(3, "5."), "value"), (change(3, "NaN"), "value"), (change(6, "NULL"), "value"), (change(10, "1 %%"), "value"), (change(12, "0.5 %"), "value"), (change(9, "٣"), "value"),
+        (change(9, "40\n"), "value"), (change(9, '"40\n"'), "value"), (change(9, "\n40"), "value"), (change(0, "1\n"), "value"), (change(6, "null\n"), "value"), (change(10, "5 %\n"), "value"), (change(10, "5\n"), "value"), (GOOD + "\n", "value"), (GOOD + "\r", None), (change(3, "0.5\u2028"), "value"), (change(3, "0.5\u0085"), "value"),
         (change(9, '"4'), "quoting"), (change(9, '4"'), "quoting"), (change(9, '"4"x'), "quoting"), (GOOD + " ; ", "columns"), ("done", "columns"), ("", "columns"), (None, "columns"), ('x"', "quoting"),
     ]
     df = spark.createDataFrame([(i, c[0], "reason") for i, c in enumerate(cases)], "line_no bigint, raw_line string, reason string")
