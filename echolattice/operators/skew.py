@@ -1,66 +1,55 @@
-"""Per-key results where a handful of keys hold most rows."""
+"""Per-key results where a handful of keys hold most rows.
+
+A key is heavy when it holds more rows than a task should: about the rows of the table over the number of shuffle partitions. Heavy keys are found in a
+sample whose size follows the number of partitions, never the table, and there are at most twice as many as partitions: that bounds
+what is broadcast. The sample only steers the path a key takes; results don't depend on it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-#: Counters of the sketch and the most keys it may report: the bound of what is broadcast.
-SKETCH_COUNTERS, MOST_HEAVY = 8192, 128
+from echolattice.runtime import Written, shuffle_partitions
+
+#: Sampled rows for each shuffle partition: a key that fills a task is expected so often in the sample, and counts as heavy from half of that on.
+SAMPLED = 64
 
 
-def heavy_keys(df: DataFrame, keys: list[str], share: float) -> tuple[dict[str, list], dict[str, int]]:
-    """Keys that a frequent-items sketch over all rows puts above ``share`` of the non-null rows, at most MOST_HEAVY of each column, and the exact number of non-null rows.
+def heavy_keys(df: DataFrame, keys: list[Column], rows: int | None = None) -> list[list]:
+    """For each of the columns ``keys`` the values that hold more than half a shuffle partition's share of ``df``, going by a sample; at most 2 * partitions of each.
 
-    The sketch merges map-side; only its estimates come to the driver. A key it misses is processed as an ordinary one, so results don't depend on it.
+    ``df`` should be a stored table; ``rows``, its number of rows, is counted if not given. Whole numbers and strings; nulls are never heavy.
     """
-    aggs: list[Column] = []
+    parts = shuffle_partitions(df.sparkSession)
+    rows = df.count() if rows is None else rows
+    want = SAMPLED * parts
+    part = df.sample(want / rows, seed=7) if rows > 2 * want else df
+    sampled = min(rows, want) if rows > 2 * want else rows
+    out: list[list] = []
+    counted = part.select(F.inline(F.array(*(F.struct(F.lit(i).alias("i"), k.cast("string").alias("v")) for i, k in enumerate(keys))))).where("v IS NOT NULL")
+    found = counted.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * 2 * parts > sampled).collect()
     for i, k in enumerate(keys):
-        aggs += [F.expr(f"approx_top_k(`{k}`, {MOST_HEAVY}, {SKETCH_COUNTERS})").alias(f"top{i}"), F.count(k).alias(f"n{i}")]
-    found = df.agg(*aggs).first()
-    heavy, rows = {}, {}
-    for i, k in enumerate(keys):
-        rows[k] = n = found[f"n{i}"]
-        heavy[k] = [x[0] for x in found[f"top{i}"] or [] if x[0] is not None and x[1] > share * n]
-    return heavy, rows
+        text = df.select(k.alias("k")).schema["k"].dataType.simpleString() == "string"
+        out.append(sorted(r["v"] if text else int(r["v"]) for r in found if r["i"] == i))
+    return out
 
 
 def key_table(df: DataFrame, key: str, values: list) -> DataFrame:
-    """The given keys as a table of literals, typed like ``df[key]``; at most MOST_HEAVY."""
-    if len(values) > MOST_HEAVY:
-        raise ValueError(f"more than {MOST_HEAVY} heavy keys")
+    """The given keys as a table of one literal, typed like ``df[key]``."""
     kind = df.schema[key].dataType.simpleString()
-    return df.sparkSession.range(1).select(F.explode(F.array(*(F.lit(v) for v in values)).cast(f"array<{kind}>")).alias(key))
-
+    return df.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")).alias(key))
 
-def key_profile(df: DataFrame, key: str, partner: str, value: str, heavy: DataFrame) -> DataFrame:
-    """``key, n_rows, n_partners (distinct, non-null), first_value, last_value`` of each non-null key.
 
-    Rows of the ``heavy`` keys, picked by a broadcast join, are first aggregated by (key, partner), which spreads one key over all
-    tasks; all other keys take one ordinary shuffle on the key. Nulls: a null partner counts as a row but not as a partner; null values don't count for first and last; rows with
-    a null key belong to no key. An empty table gives no rows; columns beside the three are not read.
-    """
-    rows = df.select(F.col(key).alias("_k"), F.col(partner).alias("_p"), F.col(value).alias("_v")).where(F.col("_k").isNotNull())
-    small = F.broadcast(heavy.select(F.col(key).alias("_k")))
-    pair = (F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    whole = (F.sum("_n").alias("n_rows"), F.count("_p").alias("n_partners"), F.min("_lo").alias("first_value"), F.max("_hi").alias("last_value"))
-    hot = rows.join(small, "_k", "left_semi").groupBy("_k", "_p").agg(*pair).groupBy("_k").agg(*whole)
-    rest = rows.join(small, "_k", "left_anti").repartition("_k").groupBy("_k", "_p").agg(*pair).groupBy("_k").agg(*whole)
-    return hot.unionByName(rest).withColumnRenamed("_k", key)
-
-
-def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner", share: float = 0.005, least_bytes: int | None = None) -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int | None = None) -> DataFrame:
     """``left.join(right, key, how)`` ('inner' or 'left') where ``right`` has at most one row a key and a few keys may hold most rows of ``left``.
 
-    Rows of the keys above ``share`` of ``left`` meet their partners by broadcast - at most MOST_HEAVY rows - and stay where they are; all others take an ordinary join. ``left`` is read more than once, so pass a stored table.
-    A table smaller than what adaptive execution calls a skewed partition (or ``least_bytes``) can't hold one, and is joined in the ordinary way; the rows are the same.
+    Rows of the heavy keys of ``left`` meet their partners by broadcast - at most two for each shuffle partition, by :func:`heavy_keys` - and stay where they are; all others take an ordinary join.
+    ``left`` is read more than once, so pass a stored table. Null keys meet nothing.
     """
-    spark = left.sparkSession
-    if least_bytes is None:
-        least_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes"))
-    if int(str(left._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < least_bytes:
-        return left.join(right, key, how)
-    heavy = heavy_keys(left, [key], share)[0][key]
+    (heavy,) = heavy_keys(left, [F.col(key)], rows)
     if not heavy:
         return left.join(right, key, how)
     few = F.broadcast(key_table(left, key, heavy))
@@ -68,11 +57,35 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     return hot.unionByName(left.join(few, key, "left_anti").join(right, key, how))
 
 
-def profile_both_ways(df: DataFrame, left: str, right: str, value: str, share: float = 0.002) -> DataFrame:
-    """``field_name, key_value, n_rows, n_partners, first_value, last_value, field_rows`` for each key of both columns."""
-    heavy, rows = heavy_keys(df, [left, right], share)
-    parts = [
-        key_profile(df, key, other, value, key_table(df, key, heavy[key])).select(F.lit(key).alias("field_name"), F.col(key).cast("bigint").alias("key_value"), "n_rows", "n_partners", "first_value", "last_value", F.lit(rows[key]).cast("bigint").alias("field_rows"))
-        for key, other in ((left, right), (right, left))
-    ]
-    return parts[0].unionByName(parts[1])
+def profile_both_ways(df: DataFrame, left: str, right: str, value: str) -> DataFrame:
+    """``field_name, key_value, n_rows, n_partners (distinct, non-null), first_value, last_value, field_rows`` of each non-null key of both columns.
+
+    The table is read once, into a stored pre-aggregate by (left, right), which no single key can skew and in which partners are distinct. It serves both columns: rows of heavy keys,
+    picked by a broadcast join, are spread over slots by their partner and added up again, all other keys take one ordinary shuffle on the key with a partial aggregate before
+    it, and the two are united. Nulls: a null partner counts as a row but not as a partner; null values don't count for first and last; rows with
+    a null key belong to no key. An empty table gives no rows; columns beside the three are not read. Keys are whole numbers.
+    """
+    slots = shuffle_partitions(df.sparkSession)
+    rows = df.select(F.col(left).cast("bigint").alias("_l"), F.col(right).cast("bigint").alias("_r"), F.col(value).alias("_v")).where("_l IS NOT NULL OR _r IS NOT NULL")
+    seen = Observation()
+    count = lambda c: F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.col("_n"))), F.lit(0))
+    pairs = rows.groupBy("_l", "_r").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    # the numbers of rows come from the tasks that write the table, each of which counts once
+    pairs = Written(pairs.observe(seen, F.count(F.lit(1)).alias("pairs"), count("_l").alias("l"), count("_r").alias("r")), "pairs").df
+    total = seen.get
+    heavy = heavy_keys(pairs, [F.col("_l"), F.col("_r")], total["pairs"])
+    listed = [[0, k] for k in heavy[0]] + [[1, k] for k in heavy[1]]
+    few = df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps([{"_f": f, "_k": k} for f, k in listed])), "array<struct<_f int, _k bigint>>"))).withColumn("_heavy", F.lit(True))
+    side = lambda f, key, partner: F.struct(F.lit(f).alias("_f"), F.col(key).alias("_k"), F.col(partner).alias("_p"), F.col("_n"), F.col("_lo"), F.col("_hi"))
+    both = pairs.select(F.inline(F.array(side(0, "_l", "_r"), side(1, "_r", "_l")))).where("_k IS NOT NULL")
+    tagged = both.join(F.broadcast(few), ["_f", "_k"], "left").withColumn("_slot", F.when(F.col("_heavy"), F.pmod(F.xxhash64("_p"), F.lit(slots))))
+    first = tagged.groupBy("_f", "_k", "_slot").agg(F.sum("_n").alias("_n"), F.count("_p").alias("_d"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.max("_heavy").alias("_heavy"))
+    # both filters are on an aggregate, so neither goes below the shuffle and the two branches share it
+    sums = (F.sum("_n").alias("_n"), F.sum("_d").alias("_d"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    out = ("_f", "_k", "_n", "_d", "_lo", "_hi")
+    united = first.where("_heavy").groupBy("_f", "_k").agg(*sums).select(*out).unionByName(first.where("_heavy IS NULL").select(*out))
+    named = F.col("_f") == 0
+    return united.select(
+        F.when(named, F.lit(left)).otherwise(F.lit(right)).alias("field_name"), F.col("_k").alias("key_value"), F.col("_n").alias("n_rows"), F.col("_d").alias("n_partners"), F.col("_lo").alias("first_value"), F.col("_hi").alias("last_value"),
+        F.when(named, F.lit(total["l"])).otherwise(F.lit(total["r"])).cast("bigint").alias("field_rows"),
+    )
