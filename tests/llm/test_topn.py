@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-from echolattice.llm.topn import top_n
+from pyspark.sql import functions as F
+
+from echolattice.llm.topn import top_n, within
 
 SCHEMA = "g string, score bigint, tie int, id bigint, extra string, _g string"
 
@@ -21,9 +23,9 @@ def brute(rows, n, distinct):
     return sorted(out)
 
 
-def run(spark, rows, n, distinct=True, parts=7):
+def run(spark, rows, n, distinct=True, parts=7, **more):
     df = spark.createDataFrame(rows, SCHEMA).repartition(parts)
-    return sorted((r.g, r.id, r["rank"]) for r in top_n(df, "g", "score", ["tie"], "id", n, ["g", "score", "tie", "extra"] if distinct else None).collect())
+    return sorted((r.g, r.id, r["rank"]) for r in top_n(df, "g", "score", ["tie"], "id", n, ["g", "score", "tie", "extra"] if distinct else None, **more).collect())
 
 
 @pytest.mark.parametrize(("n", "distinct"), [(1, True), (5, True), (5, False), (1000, True)])
@@ -33,6 +35,27 @@ def test_equals_brute_force(spark, n, distinct):
     assert run(spark, rows, n, distinct) == brute(rows, n, distinct)
 
 
+@pytest.mark.parametrize("distinct", [True, False])
+def test_bounds_too_many_to_broadcast(spark, distinct):
+    r = random.Random(8)
+    rows = [(r.choice(["hot"] * 9 + list("bcdefgh")), r.randrange(50), r.choice([None, 1]), i, r.choice("xy"), "z") for i in range(1500)]
+    assert run(spark, rows, 4, distinct, most_broadcast=0) == brute(rows, 4, distinct)
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_bound_cuts_candidates_before_they_are_shuffled(spark, most):
+    """Of 40 partitions with five candidates of a hot group each, only those that reach the best fifth item stay; groups without a bound keep all."""
+    rows = [("hot", i, p, p * 5 + i, i + 1) for p in range(40) for i in range(5)] + [("few", i, 0, 900 + i, i + 1) for i in range(3)]
+    best = spark.createDataFrame(rows, "_g string, _k0 long, _i0b int, _id long, _rank int").withColumn("_k0", F.col("_k0") + F.col("_i0b"))
+    place = F.struct("_k0", "_id")
+    bounds = best.where("_rank = 5").groupBy("_g").agg(F.min(place).alias("_bound"))
+    left = within(best, bounds, place, most).collect()
+    key = lambda r: (r[1], r[3])
+    hot = sorted(key(r) for r in best.collect() if r[0] == "hot")
+    want = [x for x in hot if x <= min(key(r) for r in best.collect() if r[0] == "hot" and r[4] == 5)]
+    assert sorted(key(r) for r in left if r[0] == "hot") == want and len(want) == 11 and sum(r[0] == "few" for r in left) == 3
+
+
 def test_repeated_rows_take_one_place(spark):
     rows = [("a", 9, 1, i, "same", None) for i in range(400, 0, -1)] + [("a", 8, 1, 1000 + i, f"{i}", None) for i in range(10)]
     assert run(spark, rows, 3) == [("a", 1, 1), ("a", 1000, 2), ("a", 1001, 3)]
