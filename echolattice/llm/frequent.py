@@ -9,10 +9,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from echolattice.runtime import shuffle_partitions
+from echolattice.runtime import Written
 
 #: A summary: values in ascending order, counts that are never too low, by how much each may be too high, and the most an absent value may have.
 Summary = tuple[np.ndarray, np.ndarray, np.ndarray, int]
@@ -65,7 +65,9 @@ def _scan(batches: Iterator[pa.RecordBatch], counters: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_pydict(_rows(summary, n, TaskContext.get().partitionId()))
 
 
-def _join(rows: pd.DataFrame, counters: int, node: int) -> pd.DataFrame:
+def _join(rows: pd.DataFrame, counters: int, fan_in: int, node: int) -> pd.DataFrame:
+    if len(rows) > fan_in * (counters + 1):
+        raise RuntimeError(f"{len(rows)} rows of summaries in one task")
     summary, n = EMPTY, 0
     for _, x in rows.sort_values(["node", "head", "item"], ascending=[True, False, True]).groupby("node", sort=True):
         body = x[~x["head"]]
@@ -75,19 +77,20 @@ def _join(rows: pd.DataFrame, counters: int, node: int) -> pd.DataFrame:
 
 
 def summarize(df: DataFrame, column: str, counters: int, fan_in: int = 16) -> DataFrame:
-    """One merged summary over all non-null values: rows of ``_SCHEMA``. Memory is bounded by ``fan_in * counters`` everywhere.
+    """One merged summary over all non-null values: rows of ``_SCHEMA``. A task holds ``fan_in`` summaries of ``counters`` rows at most, however many partitions there are.
 
-    Each count exceeds the true one by at most ``err``, and ``err`` is at most rows / counters.
+    Each count exceeds the true one by at most ``err``, and ``err`` is at most rows / counters. The summaries of the partitions are stored, so the levels of the tree are known.
     """
     parts = df.select(F.col(column).cast("bigint")).where(F.col(column).isNotNull()).mapInArrow(lambda b: _scan(b, counters), _SCHEMA)
-    nodes = shuffle_partitions(df.sparkSession)
-    while True:
-        group = F.col("node") % nodes
-        # parts of one node meet in one task; with many more partitions than nodes they are merged there one after the other
-        parts = parts.groupBy(group.alias("at")).applyInPandas(lambda key, x: _join(x, counters, int(key[0])), _SCHEMA)
-        if nodes == 1:
-            return parts
+    seen = Observation()
+    parts = Written(parts.observe(seen, F.max("node").alias("last")), "summaries").df
+    last = seen.get["last"]
+    nodes = 1 if last is None else last + 1
+    while nodes > 1:
+        # neighbours meet: ceil(nodes / fan_in) groups of at most fan_in summaries
+        parts = parts.groupBy(F.expr(f"node div {fan_in}").alias("at")).applyInPandas(lambda key, x: _join(x, counters, fan_in, int(key[0])), _SCHEMA)
         nodes = -(-nodes // fan_in)
+    return parts
 
 
 def frequent(df: DataFrame, column: str, share: float, counters: int | None = None) -> DataFrame:
@@ -95,11 +98,13 @@ def frequent(df: DataFrame, column: str, share: float, counters: int | None = No
 
     ``n_rows`` is exact, from a second pass that counts only the candidates; ``n_estimated`` is the merged summary's count, too high by at most ``n_over``.
     Repeated rows count each time, nulls never; a table without values gives no rows; other columns aren't read. The column is a whole number.
-    No value is missed: with ``counters`` (default 4 / share) at least 1 / share, a value outside the summary has fewer rows than the smallest counter. The candidates broadcast to the second pass are at most ``counters``.
+    No value is missed: ``counters`` (default 4 / share) must be at least 1 / share, else it raises ValueError, and then a value outside the summary has fewer rows than the smallest counter. The candidates broadcast to the second pass are at most ``counters``.
     """
     part = Fraction(share).limit_denominator(10**9)
     enough = lambda n: n * F.lit(part.denominator) >= F.col("_total") * F.lit(part.numerator)
-    counters = counters or int(np.ceil(4 / share))
+    counters = int(np.ceil(4 / share)) if counters is None else counters
+    if counters * part < 1:
+        raise ValueError(f"{counters} counters can't hold every value with a share of {share}")
     merged = summarize(df, column, counters).where("NOT head").withColumnRenamed("total", "_total")
     found = merged.where(enough(F.col("n"))).select(F.col("item").alias("_item"), F.col("n").alias("n_estimated"), F.col("err").alias("n_over"), "_total")
     rows = df.select(F.col(column).cast("bigint").alias("_item")).where("_item IS NOT NULL")

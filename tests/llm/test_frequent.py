@@ -60,6 +60,23 @@ def test_summary_is_bounded(spark):
     assert summarize(df, "h", 64).count() == 65
 
 
+def test_tree_of_many_partitions(spark):
+    """Each task merges at most fan_in summaries (it raises otherwise), and the bounds hold at the root."""
+    df = spark.range(0, 3000, 1, 300).selectExpr("CASE WHEN id % 3 = 0 THEN 5 ELSE id * 100 END AS h")
+    root = summarize(df, "h", 8, fan_in=4).collect()
+    head = next(r for r in root if r.head)
+    (five,) = [r for r in root if r.item == 5 and not r.head]
+    assert len(root) <= 9 and head.n == 3000 and five.n - five.err <= 1000 <= five.n and head.err <= 3000 / 8
+    assert [(r.h, r.n_rows) for r in frequent(df, "h", 0.25).collect()] == [(5, 1000)]
+
+
+def test_too_few_counters_are_refused(spark):
+    df = spark.range(100).selectExpr("id % 50 AS h")
+    with pytest.raises(ValueError):
+        frequent(df, "h", 0.02, counters=49)
+    assert frequent(df, "h", 0.02, counters=50).count() == 50
+
+
 def test_nothing(spark):
     for rows in ([], [(None,)]):
         assert frequent(spark.createDataFrame(rows, "h bigint"), "h", 0.1).count() == 0
