@@ -9,7 +9,7 @@ from echolattice.config import AlgorithmConfig
 from echolattice.operators.match import query
 from echolattice.operators.monitor import monitor
 from echolattice.operators.skew import join_unique
-from echolattice.runtime import written
+from echolattice.runtime import Written
 
 
 def content_groups(files: DataFrame, key: str, content: str) -> DataFrame:
@@ -20,9 +20,10 @@ def content_groups(files: DataFrame, key: str, content: str) -> DataFrame:
 
 def content_members(files: DataFrame, key: str, content: str) -> DataFrame:
     """``key, content_hash, first_key, members`` of each file that has a duplicate; a group that holds many of the files is split."""
-    x = written(files.where(F.col(content).isNotNull()).select(key, F.md5(F.col(content).cast("binary")).alias("content_hash")), "hashes")
+    stored = Written(files.where(F.col(content).isNotNull()).select(key, F.md5(F.col(content).cast("binary")).alias("content_hash")), "hashes")
+    x = stored.df
     groups = x.groupBy("content_hash").agg(F.min(key).alias("first_key"), F.count(F.lit(1)).alias("members")).where("members >= 2")
-    return join_unique(x, groups, "content_hash").select(key, "content_hash", "first_key", "members")
+    return join_unique(x, groups, "content_hash", rows=stored.rows).select(key, "content_hash", "first_key", "members")
 
 
 def by_fingerprint(prints: DataFrame, index: DataFrame, durations: DataFrame, config: AlgorithmConfig, window: float = 25.0, overlap: float = 5.0, most: int = 10) -> DataFrame:

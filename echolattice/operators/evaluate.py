@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from echolattice.functions.names import basename, evaluation_name
 from echolattice.functions.units import ratio_to_cent
 from echolattice.operators.skew import join_unique
+from echolattice.runtime import Written
 
 
 def with_in_index(results: DataFrame, resources: DataFrame) -> DataFrame:
@@ -51,9 +52,9 @@ def acceptable(lines: DataFrame, least_score: int = 15, shortest: float = 3, lon
 def symmetric_pairs(lines: DataFrame) -> DataFrame:
     """Adds ``symmetric``: whether exactly two lines have this unordered pair of names."""
     a, b = basename(F.col("query_path")), basename(F.col("ref_path"))
-    x = lines.withColumn("_pair", F.concat_ws("\n", F.least(a, b), F.greatest(a, b)))
-    counts = x.groupBy("_pair").agg((F.count(F.lit(1)) == 2).alias("symmetric"))
-    return join_unique(x, counts, "_pair").drop("_pair")
+    stored = Written(lines.withColumn("_pair", F.concat_ws("\n", F.least(a, b), F.greatest(a, b))), "pairs")
+    counts = stored.df.groupBy("_pair").agg((F.count(F.lit(1)) == 2).alias("symmetric"))
+    return join_unique(stored.df, counts, "_pair", rows=stored.rows).drop("_pair")
 
 
 #: Effects without a grade, and the graded modifications with their factors: 0.84 to 1.16 in steps of 0.02 without 1.

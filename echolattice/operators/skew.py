@@ -71,9 +71,9 @@ def profile_both_ways(df: DataFrame, left: str, right: str, value: str) -> DataF
     count = lambda c: F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.col("_n"))), F.lit(0))
     pairs = rows.groupBy("_l", "_r").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     # the numbers of rows come from the tasks that write the table, each of which counts once
-    pairs = Written(pairs.observe(seen, F.count(F.lit(1)).alias("pairs"), count("_l").alias("l"), count("_r").alias("r")), "pairs").df
-    total = seen.get
-    heavy = heavy_keys(pairs, [F.col("_l"), F.col("_r")], total["pairs"])
+    stored = Written(pairs.observe(seen, count("_l").alias("l"), count("_r").alias("r")), "pairs")
+    pairs, total = stored.df, seen.get
+    heavy = heavy_keys(pairs, [F.col("_l"), F.col("_r")], stored.rows)
     listed = [[0, k] for k in heavy[0]] + [[1, k] for k in heavy[1]]
     few = df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps([{"_f": f, "_k": k} for f, k in listed])), "array<struct<_f int, _k bigint>>"))).withColumn("_heavy", F.lit(True))
     side = lambda f, key, partner: F.struct(F.lit(f).alias("_f"), F.col(key).alias("_k"), F.col(partner).alias("_p"), F.col("_n"), F.col("_lo"), F.col("_hi"))

@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -14,11 +15,13 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor reaches, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) a local folder is made and used.
+    Only a local session (tests, a laptop) may leave the setting out: then a local folder is made. On a cluster executors wouldn't share it, so that raises.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = f"file://{tempfile.mkdtemp(prefix='echolattice-')}"
     spark.conf.set("spark.checkpoint.dir", made)
     return made
@@ -41,12 +44,14 @@ def _clean() -> None:
 
 
 class Written:
-    """A DataFrame stored as Parquet in the shared folder; survives lost executors."""
+    """A DataFrame stored as Parquet in the shared folder; survives lost executors. ``rows`` is counted by the tasks that write it."""
 
     def __init__(self, df: DataFrame, tag: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(self.path)
+        self.rows: int = seen.get["rows"]
         self.schema = df.schema
         _written.append((self.spark, self.path))
 
