@@ -42,32 +42,33 @@ def number(values: DataFrame, column: str) -> DataFrame:
     return rows.join(F.broadcast(first), "pid").select(column, (F.col("first") + F.col("seq")).alias("id"))
 
 
-def seeds(links: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """``v, seed`` of each vertex that isn't itself the smallest of its component, from links ``a, b`` (BIGINT, non-null): that smallest vertex. Seeds and vertices without a link have no row."""
+def seeds(links: DataFrame) -> DataFrame:
+    """``v, seed`` of each vertex that isn't itself the smallest of its component, from links ``a, b`` (BIGINT, non-null): that smallest vertex. Seeds and vertices without a link have no row.
+
+    Every round drops at least one vertex of each component that still has links, so it ends; the number of rounds grows with the logarithm of the longest chain.
+    """
     both = links.where("a <> b").select(F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))).distinct()
     graph = Written(both, "links")
-    forest: list[DataFrame] = []
-    while not graph.df.isEmpty():
-        if len(forest) == most_rounds:
-            raise RuntimeError(f"links remain after {most_rounds} rounds")
-        g = graph.df
-        least = g.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        told = join_unique(g, least, "u").select("v", "m").unionByName(least.select(F.col("u").alias("v"), "m")).distinct()
+    forest: list[Written] = []
+    while graph.rows:
+        least = graph.df.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        told = join_unique(graph.df, least, "u", rows=graph.rows).select("v", "m").unionByName(least.select(F.col("u").alias("v"), "m")).distinct()
         told = Written(told, "told")
         mine = Written(told.df.groupBy("v").agg(F.min("m").alias("low"), F.max(F.col("m") == F.col("v")).alias("stays")), "forest")
-        forest.append(mine.df.where("NOT stays").select("v", F.col("low").alias("parent")))
-        linked = join_unique(told.df, mine.df.select("v", "low"), "v").where("m <> low").select(F.inline(F.array(F.struct(F.col("m").alias("u"), F.col("low").alias("v")), F.struct(F.col("low").alias("u"), F.col("m").alias("v"))))).distinct()
+        forest.append(mine)
+        linked = join_unique(told.df, mine.df.select("v", "low"), "v", rows=told.rows).where("m <> low").select(F.inline(F.array(F.struct(F.col("m").alias("u"), F.col("low").alias("v")), F.struct(F.col("low").alias("u"), F.col("m").alias("v"))))).distinct()
         rest = Written(linked, "links")
         graph.drop()
         told.drop()
         graph = rest
     spark = links.sparkSession
     known = None
-    for level in reversed(forest):
+    for mine in reversed(forest):
+        level = mine.df.where("NOT stays").select("v", F.col("low").alias("parent"))
         # parents without an entry were never dropped: they are the seeds
-        below = level.select("v", F.col("parent").alias("seed")) if known is None else join_unique(level, known.select(F.col("v").alias("parent"), "seed"), "parent", "left").select("v", F.coalesce("seed", "parent").alias("seed"))
+        below = level.select("v", F.col("parent").alias("seed")) if known is None else join_unique(level, known.select(F.col("v").alias("parent"), "seed"), "parent", "left", mine.rows).select("v", F.coalesce("seed", "parent").alias("seed"))
         known = below if known is None else known.unionByName(below)
-        if level is not forest[0]:
+        if mine is not forest[0]:
             known = Written(known, "known").df
     if known is None:
         return spark.createDataFrame([], "v bigint, seed bigint")
@@ -81,10 +82,10 @@ def groups(df: DataFrame, left: str, right: str) -> DataFrame:
     An empty table gives no rows; other columns aren't read. A value linked with any number of others, and a group of any size, spreads over tasks: minima combine before the shuffle, and in every
     join on a vertex the few that hold most rows are met by broadcast.
     """
-    pairs = Written(df.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(F.col(left).alias("x"), F.col(right).alias("y")).distinct(), "pairs").df
-    ids = Written(number(pairs.select(F.inline(F.array(F.struct(F.col("x").alias("item")), F.struct(F.col("y").alias("item"))))).distinct(), "item"), "ids").df
-    half = Written(join_unique(pairs.where("x <> y"), ids.select(F.col("item").alias("x"), F.col("id").alias("a")), "x").select("a", "y"), "half").df
-    links = join_unique(half, ids.select(F.col("item").alias("y"), F.col("id").alias("b")), "y").select("a", "b")
+    pairs = Written(df.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(F.col(left).alias("x"), F.col(right).alias("y")).distinct(), "pairs")
+    ids = Written(number(pairs.df.select(F.inline(F.array(F.struct(F.col("x").alias("item")), F.struct(F.col("y").alias("item"))))).distinct(), "item"), "ids").df
+    half = Written(join_unique(pairs.df.where("x <> y"), ids.select(F.col("item").alias("x"), F.col("id").alias("a")), "x", rows=pairs.rows).select("a", "y"), "half")
+    links = join_unique(half.df, ids.select(F.col("item").alias("y"), F.col("id").alias("b")), "y", rows=half.rows).select("a", "b")
     seed = seeds(links)
-    named = Written(ids.join(seed, ids["id"] == seed["v"], "left").select("item", F.coalesce("seed", "id").alias("seed")), "named").df
-    return join_unique(named, ids.select(F.col("item").alias("group_item"), F.col("id").alias("seed")), "seed").select("item", "group_item")
+    named = Written(ids.join(seed, ids["id"] == seed["v"], "left").select("item", F.coalesce("seed", "id").alias("seed")), "named")
+    return join_unique(named.df, ids.select(F.col("item").alias("group_item"), F.col("id").alias("seed")), "seed", rows=named.rows).select("item", "group_item")
