@@ -1,7 +1,7 @@
 """A mixture of sources at target weights, by pivotal dependent rounding.
 
 Each record of a source is wanted the same fractional number of times. The whole part is certain; the fractions are rounded by
-pairing: of two fractional copies, size-weighted mass moves at random until one of them is whole, and the other goes on. So the total size never moves by more
+pairing: of two fractional copies, size-weighted mass moves at random until one of them is whole, and the other goes on. Disjoint pairs of a bucket are settled together, in about log2(rows) passes. So the total size never moves by more
 than the one record left at the end. Records are rounded in buckets side by side; what a bucket leaves over is at most one fraction of each source, and the left-overs are paired in a reduction tree.
 """
 
@@ -21,55 +21,61 @@ from echolattice.runtime import Written
 _LEFT = "source string, id bigint, size bigint, p double, bucket bigint, copy int"
 
 
-def pair(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, int]:
-    """Rounded copies (0 or 1) of fractions ``p`` in order, -1 for the one left fractional, and its place (-1: none). The new fraction replaces ``p`` there."""
+def pair(p: np.ndarray, size: np.ndarray, draw: Callable[[np.ndarray, int], np.ndarray]) -> tuple[np.ndarray, int]:
+    """Rounded copies (0 or 1) of fractions ``p``, -1 for the one left fractional, and its place (-1: none). The new fractions replace ``p``.
+
+    In each pass neighbours among the fractions left form disjoint pairs, and one of each pair becomes whole: about log2(n) passes. ``draw(places, pass)`` gives a number in [0, 1) for the pairs that begin there.
+    """
     copy = np.full(len(p), -1, np.int32)
-    held = -1
-    values, sizes, draws = p.tolist(), size.tolist(), draw.tolist()
-    for i, b in enumerate(values):
-        if held < 0:
-            held = i
-            continue
-        a, wa, wb, u = values[held], sizes[held], sizes[i], draws[i]
-        up = min((1 - a) * wa, b * wb)  # mass that can move to the first
-        down = min(a * wa, (1 - b) * wb)
-        if u * (up + down) < down:  # chosen with the odds that keep each expectation
-            a, b = a + up / wa, b - up / wb
-            first = (1 - a) * wa <= 1e-9 * wa
-        else:
-            a, b = a - down / wa, b + down / wb
-            first = a <= 1e-9
-        values[held], values[i] = a, b
-        if first:
-            copy[held], held = round(a), i
-        else:
-            copy[i] = round(b)
-    if held >= 0 and not 1e-9 < values[held] < 1 - 1e-9:
-        copy[held], held = round(values[held]), -1
-    p[:] = values
-    return copy, held
-
-
-def _uniform(ids: pd.Series, level: int, seed: int) -> np.ndarray:
-    """Numbers in [0, 1) that depend only on the record, the level and the seed, so a task that runs again decides alike."""
-    x = ids.to_numpy().astype(np.uint64) + np.uint64((seed * 1_000_003 + level) * 0x9E3779B97F4A7C15 % 2**64)
+    left, turn = np.arange(len(p)), 0
+    while len(left) > 1:
+        even = len(left) & ~1
+        i, j = left[0:even:2], left[1:even:2]
+        a, b, wa, wb = p[i], p[j], size[i].astype(float), size[j].astype(float)
+        up = np.minimum((1 - a) * wa, b * wb)  # mass that can move to the first
+        down = np.minimum(a * wa, (1 - b) * wb)
+        rises = draw(i, turn) * (up + down) < down  # chosen with the odds that keep each expectation
+        moved = np.where(rises, up, -down)
+        a, b = a + moved / wa, b - moved / wb
+        p[i], p[j] = a, b
+        near_a, near_b = np.minimum(a, 1 - a), np.minimum(b, 1 - b)
+        first = near_a <= near_b  # the one that became whole
+        copy[np.where(first, i, j)] = np.round(np.where(first, a, b)).astype(np.int32)
+        rest, near = np.where(first, j, i), np.where(first, near_b, near_a)
+        both = near <= 1e-9
+        copy[rest[both]] = np.round(p[rest[both]]).astype(np.int32)
+        left = np.concatenate([rest[~both], left[even:]])
+        turn += 1
+    if len(left) and not 1e-9 < p[left[0]] < 1 - 1e-9:
+        copy[left[0]], left = round(p[left[0]]), left[:0]
+    return copy, int(left[0]) if len(left) else -1
+
+
+def _uniform(ids: np.ndarray, level: int, turn: int, seed: int) -> np.ndarray:
+    """Numbers in [0, 1) that depend only on the record, the level, the pass and the seed, so a task that runs again decides alike."""
+    x = ids.astype(np.uint64) + np.uint64(((seed * 1_000_003 + level) * 1_009 + turn) * 0x9E3779B97F4A7C15 % 2**64)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2**53
 
 
-def _rounding(level: int, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _rounding(level: int, seed: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """One group of one source; a copy of -1 marks the fraction left over."""
+        """One group of one source; a copy of -1 marks the fraction left over. In the ``last`` level it is drawn with its own odds, so every record keeps its expectation."""
         rows = rows.sort_values("id", ignore_index=True)
-        p = rows["p"].to_numpy(copy=True)
-        rows["copy"], _ = pair(p, rows["size"].to_numpy(), _uniform(rows["id"], level, seed))
-        rows["p"] = p
-        return rows
+        p, ids = rows["p"].to_numpy(copy=True), rows["id"].to_numpy()
+        copy, held = pair(p, rows["size"].to_numpy(), lambda at, turn: _uniform(ids[at], level, turn, seed))
+        if last and held >= 0:
+            copy[held] = int(_uniform(ids[held : held + 1], level, -1, seed)[0] < p[held])
+        return rows.assign(copy=copy, p=p)
 
     return run
 
 
+def _wanted(targets: DataFrame) -> list[tuple[str, float, int]]:
+    return [(r[0], float(r[1]), int(r[2])) for r in targets.where("source IS NOT NULL AND target_share IS NOT NULL AND max_repeats IS NOT NULL").select("source", "target_share", "max_repeats").collect()]
+
+
 def plan_rates(sizes: dict[str, int], targets: list[tuple[str, float, int]], total: float | None) -> dict[str, float]:
     """How often each record of a source is wanted: share * total / size, at most its cap.
 
@@ -107,7 +113,7 @@ def mix(records: DataFrame, targets: DataFrame, key: str, source: str, size: str
     * Choices depend on ``key`` (a unique BIGINT) and ``seed`` alone, not on partitions. Empty tables give no rows; other columns aren't read.
     """
     spark = records.sparkSession
-    wanted = [(r[0], float(r[1]), int(r[2])) for r in targets.where("source IS NOT NULL AND target_share IS NOT NULL AND max_repeats IS NOT NULL").select("source", "target_share", "max_repeats").collect()]
+    wanted = _wanted(targets)
     schema = T._parse_datatype_string("source string, target_share double, rate double, buckets bigint")
     rows = records.where(F.col(key).isNotNull() & (F.col(size) > 0)).select(F.col(source).alias("source"), F.col(key).cast("bigint").alias("id"), F.col(size).cast("bigint").alias("size"))
     listed = F.broadcast(spark.createDataFrame([(s,) for s, _, _ in wanted], "source string"))
@@ -124,15 +130,13 @@ def mix(records: DataFrame, targets: DataFrame, key: str, source: str, size: str
     most = max([1, *(-(-sums[s][1] // bucket_rows) for s in rates)])
     level = 0
     while True:
-        rounded = Written(open_.groupBy("source", "bucket").applyInPandas(_rounding(level, seed), _LEFT), "rounded").df
+        rounded = Written(open_.groupBy("source", "bucket").applyInPandas(_rounding(level, seed, most == 1), _LEFT), "rounded").df
         settled = rounded.where("copy >= 0").select("id", "copy")
         done = settled if done is None else done.unionByName(settled)
-        left = rounded.where("copy < 0")
         if most == 1:
-            done = done.unionByName(left.select("id", (F.col("p") >= 0.5).cast("int").alias("copy")))
             break
         most, level = -(-most // fan_in), level + 1
-        open_ = left.select("source", "id", "size", "p", F.expr(f"bucket div {fan_in}").alias("bucket"))
+        open_ = rounded.where("copy < 0").select("source", "id", "size", "p", F.expr(f"bucket div {fan_in}").alias("bucket"))
     copies = planned.where("p = 0").select("source", "id", "size", F.col("base").alias("copies"), "target_share").unionByName(
         planned.where("p > 0").join(done, "id").select("source", "id", "size", (F.col("base") + F.col("copy")).alias("copies"), "target_share")
     )
@@ -147,8 +151,25 @@ def shares(mixture: DataFrame, targets: DataFrame, source: str, size: str) -> Da
     """``source, target_share, max_repeats, records, size, reached_share`` of each source of ``targets``, 0 where nothing was used."""
     got = mixture.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("records"), F.sum(F.col("copies") * F.col(size)).alias("size"), F.max("copies").alias("most_copies"))
     x = targets.select("source", "target_share", "max_repeats").join(F.broadcast(got), "source", "left").fillna(0, ["records", "size", "most_copies"])
-    total = x.agg(F.sum("size").alias("_total"))
-    return x.crossJoin(F.broadcast(total)).select("source", "target_share", "max_repeats", "records", "most_copies", "size", F.coalesce(F.try_divide(F.col("size").cast("double"), F.col("_total").cast("double")), F.lit(0.0)).alias("reached_share"))
+    total = x.agg(F.sum("size")).scalar()
+    return x.select("source", "target_share", "max_repeats", "records", "most_copies", "size", F.coalesce(F.try_divide(F.col("size").cast("double"), total.cast("double")), F.lit(0.0)).alias("reached_share"))
+
+
+def kept(mixture: DataFrame, records: DataFrame, targets: DataFrame, key: str, source: str, size: str, total: float | None = None) -> DataFrame:
+    """What must hold of a mixture, a row for each source of ``targets``: ``source, available`` (records with a size), ``once`` (no record stands twice in it), ``capped`` (none is used more than ``max_repeats`` times),
+    ``close`` (the source's size differs from its planned one by less than its largest record, and all sources together from ``total`` by less than the sum of these, or have all their caps allow)."""
+    wanted = _wanted(targets)
+    held = {r[0]: r[1:] for r in records.where(F.col(size) > 0).groupBy(F.col(source)).agg(F.count(F.lit(1)), F.sum(size), F.max(size)).collect()}
+    used = {r[0]: r[1:] for r in mixture.groupBy(F.col(source)).agg(F.count(F.lit(1)), F.count_distinct(key), F.max("copies"), F.sum(F.col("copies") * F.col(size))).collect()}
+    rates = plan_rates({s: x[1] for s, x in held.items()}, wanted, total)
+    most = sum(cap * held[s][1] for s, w, cap in wanted if s in held and w > 0)
+    whole = total is None or abs(sum(x[3] for x in used.values()) - min(total, most)) < sum(x[2] for x in held.values())
+    rows = []
+    for s, _, cap in wanted:
+        n, amount, largest = held.get(s, (0, 0, 1))
+        count, distinct, copies, got = used.get(s, (0, 0, 0, 0))
+        rows.append((s, n, count == distinct, copies <= cap, bool(whole and abs(got - rates.get(s, 0.0) * amount) < largest)))
+    return targets.sparkSession.createDataFrame(rows, "source string, available bigint, once boolean, capped boolean, close boolean")
 
 
 def sized(documents: DataFrame, key: str, source: str, text: str, path: str = BYTE_BPE_50K) -> DataFrame:

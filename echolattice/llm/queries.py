@@ -27,6 +27,14 @@ def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
     return frequent.frequent(table(spark, folder, "postings"), "hash", 0.001)
 
 
+def p2_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """The same hashes with their exact counts, and whether the approximate ones keep their bounds: never too low, and too high by at most what is stated and by 1 of 4,000 rows."""
+    found = frequent.frequent(table(spark, folder, "postings"), "hash", 0.001)
+    rows = table(spark, folder, "postings").agg(F.count("hash")).scalar()
+    fits = (F.col("n_rows") <= F.col("n_estimated")) & (F.col("n_estimated") - F.col("n_over") <= F.col("n_rows")) & (F.col("n_over") * 4000 <= rows)
+    return found.select("hash", "n_rows", fits.alias("within"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Each matched file with the smallest path of its group."""
     lines = table(spark, folder, "dedup_lines").select(trimmed("query_path").alias("x"), trimmed("ref_path").alias("y"))
@@ -38,10 +46,17 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_ids(table(spark, folder, "documents"), ["doc_id"], "text")
 
 
+def _sized(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.sized(table(spark, folder, "documents"), "doc_id", "source", "text")
+
+
+def _beyond(sized: DataFrame) -> float:
+    return 1.5 * (sized.agg(F.sum("n_tokens")).first()[0] or 0)
+
+
 def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
     """The notebooks of the mixture, how often each is used, and the shares reached."""
-    sized = mixture.sized(table(spark, folder, "documents"), "doc_id", "source", "text")
-    return mixture.mix(sized, table(spark, folder, "mix_targets"), "doc_id", "source", "n_tokens")
+    return mixture.mix(_sized(spark, folder), table(spark, folder, "mix_targets"), "doc_id", "source", "n_tokens")
 
 
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,6 +64,22 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.shares(p8_mixture(spark, folder), table(spark, folder, "mix_targets"), "source", "n_tokens")
 
 
+def p8_capped(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares for a mixture one and a half times as large as all notebooks, for which sources have to be used up to their caps."""
+    sized, targets = _sized(spark, folder), table(spark, folder, "mix_targets")
+    return mixture.shares(mixture.mix(sized, targets, "doc_id", "source", "n_tokens", total=_beyond(sized)), targets, "source", "n_tokens")
+
+
+def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """For the mixture of all shares and the one beyond the caps: whether what is promised of them holds, a row for each source."""
+    sized, targets = _sized(spark, folder), table(spark, folder, "mix_targets")
+    out = []
+    for name, total in (("shares", None), ("capped", _beyond(sized))):
+        mixed = mixture.mix(sized, targets, "doc_id", "source", "n_tokens", total=total)
+        out.append(mixture.kept(mixed, sized, targets, "doc_id", "source", "n_tokens", total).select(F.lit(name).alias("mixture"), "*"))
+    return out[0].unionByName(out[1])
+
+
 def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
     """Estimated reading level of each notebook with prose."""
     return reading.reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_levels"), "doc_id", "text", "reading_level")
@@ -59,5 +90,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_levels(spark, folder).where("level = 3").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p5_found": p5_found, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p2_bounds": p2_bounds, "p5_found": p5_found, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_capped": p8_capped, "p8_kept": p8_kept, "p9_found": p9_found, "p9_levels": p9_levels}
 ORACLE = oracle.ORACLE

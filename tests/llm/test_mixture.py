@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from echolattice.llm.mixture import mix, pair, plan_rates, shares
+from echolattice.llm.mixture import _rounding, kept, mix, pair, plan_rates, shares
 
 TARGETS = [("a", 0.5, 1), ("b", 0.3, 3), ("c", 0.2, 4), ("none", 0.1, 2)]
 
@@ -19,7 +19,7 @@ def test_pairing_keeps_the_size():
     for n in (1, 2, 3, 50, 500):
         p, size = r.uniform(0, 1, n), r.integers(1, 1000, n)
         before, q = (p * size).sum(), p.copy()
-        copy, left = pair(q, size, r.uniform(size=n))
+        copy, left = pair(q, size, lambda at, _: r.uniform(size=len(at)))
         assert set(copy.tolist()) <= {-1, 0, 1} and (copy < 0).sum() == (left >= 0)
         after = (np.where(copy < 0, q, copy) * size).sum()
         assert abs(before - after) < 1e-6 * before + 1e-6
@@ -30,11 +30,38 @@ def test_pairing_keeps_expectations():
     r, got = np.random.default_rng(0), np.zeros(4)
     for _ in range(n):
         p = p0.copy()
-        copy, left = pair(p, size, r.uniform(size=4))
+        copy, left = pair(p, size, lambda at, _: r.uniform(size=len(at)))
         got += np.where(copy < 0, p, copy)
     assert np.abs(got / n - p0).max() < 0.015
 
 
+def test_last_fraction_keeps_its_expectation_too():
+    rows = pd.DataFrame({"source": "a", "id": [11, 12, 13], "size": [4, 1, 7], "p": [0.3, 0.3, 0.3], "bucket": 0, "copy": -1})
+    got = np.array([_rounding(0, seed, True)(rows)["copy"].to_numpy() for seed in range(6000)])
+    assert set(np.unique(got)) == {0, 1} and np.abs(got.mean(0) - 0.3).max() < 0.03
+    assert (_rounding(0, 1, False)(rows)["copy"] < 0).sum() == 1
+
+
+def test_many_fractions_are_settled_in_few_passes():
+    r, turns = np.random.default_rng(5), set()
+    p, size = r.uniform(0, 1, 100_000), r.integers(1, 1000, 100_000)
+    before = (p * size).sum()
+    copy, left = pair(p, size, lambda at, turn: (turns.add(turn), r.uniform(size=len(at)))[1])
+    assert (copy < 0).sum() <= 1 and len(turns) <= 18 and abs((np.where(copy < 0, p, copy) * size).sum() - before) < 1e-6 * before
+
+
+@pytest.mark.parametrize("total", [None, 3000.0, 400_000.0])
+def test_what_is_promised_is_checked(spark, total):
+    df, targets = frames(spark)
+    mixed = mix(df, targets, "id", "source", "size", total=total)
+    rows = {r.source: r for r in kept(mixed, df, targets, "id", "source", "size", total).collect()}
+    sums = df.where("size > 0").groupBy("source").count().collect()
+    assert {s: r.available for s, r in rows.items()} == {"none": 0, **{x[0]: x[1] for x in sums if x[0] in ("a", "b", "c")}}
+    assert all(r.once and r.capped and r.close for r in rows.values())
+    bad = {r.source: r for r in kept(mixed.union(mixed).withColumn("copies", mixed["copies"] * 9), df, targets, "id", "source", "size", total).collect()}
+    assert not (bad["a"].once or bad["a"].capped or bad["a"].close)
+
+
 @pytest.mark.parametrize("bucket_rows", [20, 50_000])
 def test_shares_are_met(spark, bucket_rows):
     df, targets = frames(spark)
