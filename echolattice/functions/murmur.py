@@ -1,9 +1,10 @@
-"""MurmurHash3 in its published variants, vectorised over a batch."""
+"""MurmurHash3 in its published variants. Over a batch, words are mixed in numpy and the values of a batch are chained side by side."""
 
 from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,12 +68,63 @@ def file_window(content: bytes) -> bytes:
     return content[start : start + 65_536]
 
 
+def _mixed(k: np.ndarray) -> np.ndarray:
+    k = k * np.uint32(0xCC9E2D51)
+    return ((k << np.uint32(15)) | (k >> np.uint32(17))) * np.uint32(0x1B873593)
+
+
+def murmur3_32_many(values: list[bytes], seed: int = 0, at_once: int = 1 << 21) -> np.ndarray:
+    """:func:`murmur3_32` of each value: those of a group (at most ``at_once`` words, longest first) go through their words together; the last few that are still running are chained as plain numbers."""
+    size = np.array([len(v) for v in values], np.int64)
+    words = size // 4
+    order = np.argsort(-words, kind="stable")
+    out = np.empty(len(values), np.int32)
+    begin = 0
+    while begin < len(order):
+        width = int(words[order[begin]])
+        group = order[begin : begin + max(1, at_once // max(width, 1))]
+        begin += len(group)
+        k = np.zeros((len(group), width), np.uint32)
+        for row, i in enumerate(group):
+            k[row, : words[i]] = np.frombuffer(values[i], "<u4", int(words[i]))
+        k = np.ascontiguousarray(_mixed(k).T)
+        h = np.full(len(group), seed & _M32, np.uint32)
+        running = np.searchsorted(-words[group], -np.arange(width), "left")  # rows with more than j words
+        few = int(np.searchsorted(-running, -7, "left"))  # from there on fewer than eight
+        for j in range(few):
+            n = running[j]
+            x = h[:n] ^ k[j, :n]
+            h[:n] = ((x << np.uint32(13)) | (x >> np.uint32(19))) * np.uint32(5) + np.uint32(0xE6546B64)
+        for row in range(int(running[few]) if few < width else 0):
+            x = int(h[row])
+            for w in k[few : words[group[row]], row].tolist():
+                x ^= w
+                x = (((x << 13) | (x >> 19)) * 5 + 0xE6546B64) & _M32
+            h[row] = x
+        rest = np.array([int.from_bytes(values[i][size[i] & ~3 :], "little") for i in group], np.uint32)
+        h ^= np.where(rest > 0, _mixed(rest), np.uint32(0))
+        h ^= size[group].astype(np.uint32)
+        for factor, shift in ((0x85EBCA6B, 16), (0xC2B2AE35, 13)):
+            h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+        out[group] = (h ^ (h >> np.uint32(16))).view(np.int32)
+    return out
+
+
+def _batch(values: pd.Series, of_bytes, absent: int | None, seed: int = 0) -> pd.Series:
+    data = [None if v is None else of_bytes(v.encode() if isinstance(v, str) else bytes(v)) for v in values]
+    known = np.array([v is not None for v in data], bool)
+    out = pd.Series(np.zeros(len(data), np.int32), dtype="Int32")
+    out[known] = murmur3_32_many([v for v in data if v is not None], seed)
+    out[~known] = pd.NA if absent is None else absent
+    return out
+
+
 def murmur32(x: Column, seed: int = 0) -> Column:
     """Of a binary or (as UTF-8) a string column; null for null."""
 
     @F.pandas_udf("int")
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else murmur3_32(v.encode() if isinstance(v, str) else bytes(v), seed)).astype("Int32")
+        return _batch(values, lambda v: v, None, seed)
 
     return run(x)
 
@@ -82,6 +134,6 @@ def file_hash(content: Column) -> Column:
 
     @F.pandas_udf("int")
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: 0 if v is None else murmur3_32(file_window(v.encode() if isinstance(v, str) else bytes(v)))).astype("Int32")
+        return _batch(values, file_window, 0)
 
     return run(content)

@@ -40,9 +40,8 @@ def java_string_hash(text: Column) -> Column:
 
 
 def identifier(path: Column, hashed: Column) -> Column:
-    """A stem of digits is the identifier itself; otherwise the upper half of the integers, offset by half the file's hash (or, if that is 0, half the name's hash)."""
-    stem = basename(path)
-    number = F.when(stem.rlike(r"^\d+$"), stem.try_cast("int"))
+    """A file name of digits with an extension is the identifier itself; otherwise, also for digits without one or beyond the integers, the upper half of the integers, offset by half the file's hash (or, if that is 0, half the name's hash)."""
+    number = F.regexp_extract(file_name(path), r"^([0-9]+)\.[^.]+\z", 1).try_cast("int")
     h = F.when(hashed == 0, F.abs(java_string_hash(path))).otherwise(hashed)
     return F.coalesce(number, F.expr(f"{INT_MAX} div 2") + F.when(h >= 0, F.floor(h / 2)).otherwise(F.ceil(h / 2))).cast("int")
 
@@ -67,7 +66,7 @@ def evaluation_name(path: Column) -> dict[str, Column]:
     return {"base": part(head, 1), "start": part(head, 2).try_cast("int"), "stop": part(head, 3).try_cast("int"), "modification": F.coalesce(part(tail, 4), F.lit("reference")), "factor": part(tail, 5).try_cast("double")}
 
 
-#: Shown names of the modifications.
+# The shown names of the modifications.
 MODIFICATIONS = {
     "reference": "Reference", "pitch_shift": "Pitch shift", "time_stretched": "Time stretch", "speed_up": "Speed up", "flanger": "Flanger",
     "band_passed_2000Hz": "Band-pass 2000 Hz", "chorus": "Chorus", "echo": "Echo", "tremolo": "Tremolo",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from echolattice.config import EngineConfig
 from echolattice.functions import hashing, names, units
-from echolattice.functions.murmur import file_hash, file_window, murmur3_32, murmur3_128, murmur32
+from echolattice.functions.murmur import file_hash, file_window, murmur3_32, murmur3_32_many, murmur3_128, murmur32
 
 
 def one(spark, **cols):
@@ -69,13 +69,21 @@ def test_murmur_known_values(spark):
     assert len(file_window(b"x" * 1_000_000)) == 65_536 and file_window(b"abc") == b"abc"
 
 
+def test_murmur_of_a_batch_equals_one_by_one():
+    r = random.Random(1)
+    values = [r.randbytes(r.choice([0, 1, 2, 3, 4, 5, 7, 8, 100, 1000, r.randrange(70_000)])) for _ in range(200)]
+    for seed, at_once in ((0, 1 << 21), (5, 300), (2**32 - 1, 1)):
+        assert murmur3_32_many(values, seed, at_once).tolist() == [murmur3_32(v, seed) for v in values]
+    assert len(murmur3_32_many([])) == 0
+
+
 def test_identifier_and_paths(spark):
     got = one(
-        spark, a=names.identifier(F.lit("/x/12345.mp3"), F.lit(7)), b=names.identifier(F.lit("/x/song.mp3"), F.lit(2_035_021_894)), c=names.identifier(F.lit("/x/song.mp3"), F.lit(-7)), d=names.identifier(F.lit("ab"), F.lit(0)),
+        spark, a=names.identifier(F.lit("/x/12345.mp3"), F.lit(7)), b=names.identifier(F.lit("/x/song.mp3"), F.lit(2_035_021_894)), c=names.identifier(F.lit("/x/song.mp3"), F.lit(-7)), e=names.identifier(F.lit("/x/12345"), F.lit(7)), f=names.identifier(F.lit("99999999999.mp3"), F.lit(8)), g=names.identifier(F.lit("12.34.mp3"), F.lit(8)), i=names.identifier(F.lit("12345."), F.lit(8)), d=names.identifier(F.lit("ab"), F.lit(0)),
         base=names.basename(F.lit("/x/a.b.wav")), bare=names.basename(F.lit("/x.y/a")), ext=names.extension(F.lit("/x.y/a")), folder=names.folder(F.lit("/x/y/a.wav")), home=names.expand_home(F.lit("~/a"), "/home/u"), both=names.combine(F.lit("a"), F.lit("b")),
     )
     half = (2**31 - 1) // 2
-    assert (got.a, got.b, got.c, got.d) == (12345, half + 1_017_510_947, half - 3, half + (97 * 31 + 98) // 2)
+    assert (got.a, got.b, got.c, got.d) == (12345, half + 1_017_510_947, half - 3, half + (97 * 31 + 98) // 2) and (got.e, got.f, got.g, got.i) == (half + 3, half + 4, half + 4, half + 4)
     assert (got.base, got.bare, got.ext, got.folder, got.home, got.both) == ("a.b", "a", "", "/x/y", "/home/u/a", "a/b")
 
 
