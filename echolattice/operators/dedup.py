@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echolattice.config import AlgorithmConfig
-from echolattice.operators.match import query
+from echolattice.operators.match import near_hash_join, ranked, results
 from echolattice.operators.monitor import monitor
 from echolattice.operators.skew import join_unique
 from echolattice.runtime import Written
@@ -34,11 +34,11 @@ def by_fingerprint(prints: DataFrame, index: DataFrame, durations: DataFrame, co
 def shared_percent(pairs: DataFrame, prints: DataFrame, config: AlgorithmConfig) -> DataFrame:
     """``first_id, second_id, percent``: the covered share of the first recording found with the second as query, rounded; 0 without a match.
 
-    Each pair (``first_id, second_id``) is matched on its own: only postings of its first recording count.
+    Each pair (``first_id, second_id``) is matched on its own: the prints of its second recording meet those of its first by (pair, hash), never those of other pairs. Repeated pairs count once.
     """
-    pair = F.struct("first_id", "second_id")
-    asked = prints.join(pairs.withColumn("resource_id", F.col("second_id")), "resource_id").select(pair.alias("query_id"), "hash", "t1", "f1")
-    wanted = pairs.select("first_id").distinct().withColumnRenamed("first_id", "resource_id")
-    found = query(asked, prints.join(wanted, "resource_id", "left_semi").select("hash", "resource_id", "t1", "f1"), config, 1_000_000).where("ref_id = query_id.first_id")
+    pairs = pairs.select("first_id", "second_id").distinct()
+    pair = F.struct("first_id", "second_id").alias("query_id")
+    mine = lambda side: prints.join(pairs.withColumn("resource_id", F.col(side)), "resource_id").select(pair, "hash", "resource_id", "t1", "f1")
+    found = ranked(results(near_hash_join(mine("second_id"), mine("first_id"), config), config), 1)
     got = found.select(F.col("query_id.first_id").alias("first_id"), F.col("query_id.second_id").alias("second_id"), F.round(F.col("coverage") * 100).cast("int").alias("percent"))
     return pairs.join(got, ["first_id", "second_id"], "left").fillna(0, ["percent"])

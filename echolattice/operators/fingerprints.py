@@ -48,6 +48,8 @@ def fingerprints(points: DataFrame, config: AlgorithmConfig) -> DataFrame:
 
 
 def same_print(left: DataFrame, right: DataFrame, frames: int = 100) -> DataFrame:
-    """Pairs of prints with one hash whose first points lie less than ``frames`` apart."""
-    a, b = left.select(*(F.col(c).alias(f"a_{c}") for c in left.columns)), right.select(*(F.col(c).alias(f"b_{c}") for c in right.columns))
-    return a.join(b, (F.col("a_hash") == F.col("b_hash")) & (F.abs(F.col("a_t1") - F.col("b_t1")) < frames))
+    """Pairs of prints with one hash whose first points lie less than ``frames`` apart. They are met by (hash, slot of ``frames`` frames), a left print in its own slot and its neighbours, so prints of a frequent hash meet only those nearby."""
+    slot = lambda t: F.floor(t / frames)
+    a = left.select(*(F.col(c).alias(f"a_{c}") for c in left.columns)).withColumn("_slot", F.explode(F.array(*(slot(F.col("a_t1")) + i for i in (-1, 0, 1)))))
+    b = right.select(*(F.col(c).alias(f"b_{c}") for c in right.columns)).withColumn("_at", slot(F.col("b_t1")))
+    return a.join(b, (F.col("a_hash") == F.col("b_hash")) & (F.col("_slot") == F.col("_at")) & (F.abs(F.col("a_t1") - F.col("b_t1")) < frames)).drop("_slot", "_at")

@@ -1,16 +1,41 @@
 """The inverted index and the metadata of the indexed resources, as tables.
 
 ``postings (hash BIGINT, resource_id INT, t1 INT, f1 INT)`` and ``metadata (resource_id INT, path STRING, duration DOUBLE, num_fingerprints BIGINT)``. On
-storage the postings are partitioned by the high bits of the hash and sorted by hash within files, so a lookup reads the row groups its hashes fall into.
+storage the postings are partitioned by the high bits of the hash (``part``) and range-sorted by hash, resource and time, so a hash with any number of postings spreads over files,
+and a lookup reads the folders and row groups its hashes fall into.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from echolattice.runtime import Written, shuffle_partitions
+
 POSTING = ("hash", "resource_id", "t1", "f1")
+#: Low bits of a hash within one part: 64 parts for hashes of 34 bits.
+PART_BITS = 28
+#: Most rows of a side that is sent to all tasks, a few dozen bytes each.
+MOST_BROADCAST_ROWS = 1_000_000
+
+
+def part_of(hash_: Column) -> Column:
+    return F.shiftright(hash_, PART_BITS).cast("int")
+
+
+def only_parts(postings: DataFrame, hashes: Written, column: str) -> DataFrame:
+    """``postings`` (with ``part``) restricted to the parts that the stored ``hashes`` fall into: at most one number a part comes to the driver, and the scan lists only those folders."""
+    parts = [r[0] for r in hashes.df.select(part_of(F.col(column)).alias("p")).distinct().collect()]
+    return postings.where(F.col("part").isin([p for p in parts if p is not None]))
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if ``rows``, its number of rows, is small enough."""
+    return F.broadcast(df) if rows <= MOST_BROADCAST_ROWS else df
 
 
 def insert_set(index: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -108,6 +133,11 @@ class MemoryIndex:
         self.postings = insert_bag(self.postings, postings).cache()
         self.metadata = upsert_metadata(self.metadata, metadata).cache()
 
+    def load(self, postings: DataFrame, metadata: DataFrame) -> None:
+        """As :meth:`StoredIndex.load`."""
+        fresh = not_stored(metadata, self.metadata).cache()
+        self.store(stored(postings, fresh), fresh)
+
     def delete(self, postings: DataFrame, ids: DataFrame) -> None:
         self.postings, self.metadata = delete(self.postings, postings).cache(), delete_metadata(self.metadata, ids).cache()
 
@@ -115,63 +145,164 @@ class MemoryIndex:
         return statistics(self.metadata, self.postings)
 
 
-class StoredIndex:
-    """The index as Parquet folders under one path: append as a set, delete, load, clear.
+class Versioned:
+    """Tables under one path as Parquet segments and a numbered manifest that names the ones that count; a version takes effect by one rename, so a write that fails half-way changes nothing. One writer at a time."""
 
-    Postings are partitioned by ``hash >> 28`` (at most 64 folders for 34-bit hashes) and sorted by hash. An insert rewrites nothing: only postings that aren't there yet are appended. A deletion writes a new version and swaps it in.
-    """
+    _SCHEMAS: dict[str, str] = {}
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    _SCHEMAS = {"postings": "hash bigint, resource_id int, t1 int, f1 int, part int", "metadata": "resource_id int, path string, duration double, num_fingerprints bigint"}
+    def _fs(self, name: str) -> tuple:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+
+    def _manifest(self) -> dict:
+        """The live segments of each table - of postings, of each part - and ``number``, that of the version."""
+        fs, folder = self._fs("manifest")
+        numbers = sorted(int(f.getPath().getName()) for f in fs.listStatus(folder) if f.getPath().getName().isdigit()) if fs.exists(folder) else []
+        if not numbers:
+            return {"number": 0, **{name: {} if "part" in kinds else [] for name, kinds in self._SCHEMAS.items()}}
+        stream = fs.open(self._fs(f"manifest/{numbers[-1]}")[1])
+        text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return {**json.loads(text), "number": numbers[-1]}
+
+    def _commit(self, manifest: dict) -> None:
+        fs, draft = self._fs(f"manifest/_{uuid.uuid4().hex}")
+        out = fs.create(draft)
+        out.write(bytearray(json.dumps({k: v for k, v in manifest.items() if k != "number"}).encode()))
+        out.close()
+        if not fs.rename(draft, self._fs(f"manifest/{manifest['number'] + 1}")[1]):
+            raise RuntimeError(f"another writer committed version {manifest['number'] + 1}")
+
+    def _read(self, name: str, live: Column | None) -> DataFrame:
+        fs, where = self._fs(name)
+        if live is None or not fs.exists(where):
+            return self.spark.createDataFrame([], self._SCHEMAS[name])
+        return self.spark.read.schema(self._SCHEMAS[name]).parquet(f"{self.path}/{name}").where(live)
+
+    def _segments(self, name: str, manifest: dict) -> DataFrame:
+        return self._read(name, F.col("seg").isin(manifest[name]) if manifest[name] else None).drop("seg")
+
+    def _segment(self, name: str, df: DataFrame) -> str:
+        seg = uuid.uuid4().hex
+        df.withColumn("seg", F.lit(seg)).write.mode("append").partitionBy("seg").parquet(f"{self.path}/{name}")
+        return seg
+
+    def clear(self) -> None:
+        for name in ("manifest", *self._SCHEMAS):
+            fs, where = self._fs(name)
+            fs.delete(where, True)
+
+
+class StoredIndex(Versioned):
+    """The index as Parquet folders under one path: append as a set, delete, load, clear.
+
+    Postings lie in ``postings/part=P/seg=S``. An insert rewrites nothing, a deletion rewrites the parts it touches.
+    """
 
-    def _read(self, name: str) -> DataFrame:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        there = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-        return self.spark.read.schema(self._SCHEMAS[name]).parquet(f"{self.path}/{name}") if there else self.spark.createDataFrame([], self._SCHEMAS[name])
+    _SCHEMAS = {"postings": "hash bigint, resource_id int, t1 int, f1 int, part int, seg string", "metadata": "resource_id int, path string, duration double, num_fingerprints bigint, seg string"}
+
+    def _postings(self, manifest: dict) -> DataFrame:
+        # segments that hold the same parts are named together; both columns are folders, so this lists and reads live ones only
+        groups: dict[tuple, list[int]] = {}
+        for part, segments in manifest["postings"].items():
+            groups.setdefault(tuple(segments), []).append(int(part))
+        live = None
+        for segments, parts in groups.items():
+            one = F.col("part").isin(parts) & F.col("seg").isin(list(segments))
+            live = one if live is None else live | one
+        return self._read("postings", live)
 
     @property
     def postings(self) -> DataFrame:
-        return self._read("postings").select(*POSTING)
+        """With ``part``, by which lookups choose what to read."""
+        return self._postings(self._manifest()).select(*POSTING, "part")
 
     @property
     def metadata(self) -> DataFrame:
-        return self._read("metadata")
-
-    def _write(self, df: DataFrame, mode: str) -> None:
-        parts = df.select(*POSTING, F.shiftright("hash", 28).cast("int").alias("part"))
-        parts.repartition("part", F.shiftright("hash", 20)).sortWithinPartitions("part", *POSTING).write.mode(mode).partitionBy("part").parquet(f"{self.path}/postings")
+        return self._segments("metadata", self._manifest())
+
+    def _append(self, df: DataFrame) -> tuple[str, list[int]]:
+        """Write postings as a new segment; its name and parts. The ranges are of (hash, resource, time), so a hot hash is cut like any other range."""
+        seg = uuid.uuid4().hex
+        rows = Written(df.select(*POSTING, part_of(F.col("hash")).alias("part")), "segment")
+        if rows.rows:
+            spread = rows.df.repartitionByRange(shuffle_partitions(self.spark), "part", *POSTING).sortWithinPartitions("part", *POSTING)
+            spread.withColumn("seg", F.lit(seg)).write.mode("append").partitionBy("part", "seg").parquet(f"{self.path}/postings")
+        parts = [r[0] for r in rows.df.select("part").distinct().collect()]
+        rows.drop()
+        return seg, parts
 
     def store(self, postings: DataFrame, metadata: DataFrame) -> None:
-        """Add postings as a set and put their metadata."""
-        fresh = postings.select(*POSTING).dropDuplicates(list(POSTING))
-        self._write(delete(fresh, self.postings), "append")
-        self._replace("metadata", upsert_metadata(self.metadata, metadata))
-
-    def _replace(self, name: str, df: DataFrame) -> None:
-        from echolattice.runtime import Written
-
-        kept = Written(df, name)  # the target can't be read while it is overwritten
-        (self._write(kept.df, "overwrite") if name == "postings" else kept.df.write.mode("overwrite").parquet(f"{self.path}/{name}"))
-        kept.drop()
+        """Add postings as a set and put their metadata. Only postings of the fresh resources, in the parts of the fresh hashes, are compared; a null hash or resource is no posting."""
+        manifest = self._manifest()
+        fresh = Written(postings.where("hash IS NOT NULL AND resource_id IS NOT NULL").select(*POSTING).dropDuplicates(list(POSTING)), "fresh")
+        ids = Written(fresh.df.select("resource_id").distinct(), "ids")
+        held = only_parts(self._postings(manifest), fresh, "hash").join(small(ids.df, ids.rows), "resource_id", "left_semi")
+        gone = held.select(*(F.col(c).alias(f"_g_{c}") for c in POSTING))
+        rows = fresh.df
+        seg, parts = self._append(rows.join(gone, _both(rows, gone), "left_anti"))
+        for p in parts:
+            manifest["postings"].setdefault(str(p), []).append(seg)
+        manifest["metadata"] = [self._segment("metadata", upsert_metadata(self._segments("metadata", manifest), metadata))]
+        self._commit(manifest)
+        fresh.drop()
+        ids.drop()
 
     def delete(self, postings: DataFrame, ids: DataFrame) -> None:
-        """Remove exactly the given postings, and the metadata of ``ids``."""
-        self._replace("postings", delete(self.postings, postings))
-        self._replace("metadata", delete_metadata(self.metadata, ids))
+        """Remove exactly the given postings, and the metadata of ``ids``. Only the parts they fall into are written anew."""
+        manifest = self._manifest()
+        gone = Written(postings.where("hash IS NOT NULL").select(*POSTING).distinct(), "gone")
+        touched = only_parts(self._postings(manifest), gone, "hash")
+        parts = [r[0] for r in touched.select("part").distinct().collect()]
+        seg, left = self._append(delete(touched, gone.df))
+        for p in parts:
+            manifest["postings"].pop(str(p), None)
+        for p in left:
+            manifest["postings"][str(p)] = [seg]
+        manifest["metadata"] = [self._segment("metadata", delete_metadata(self._segments("metadata", manifest), ids))]
+        self._commit(manifest)
+        gone.drop()
 
     def load(self, postings: DataFrame, metadata: DataFrame) -> None:
         """Bulk load of cached prints: resources that have metadata in the cache and none here yet."""
-        fresh = not_stored(metadata, self.metadata)
-        self.store(stored(postings, fresh), fresh)
-
-    def clear(self) -> None:
-        for name in self._SCHEMAS:
-            jvm = self.spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        fresh = Written(not_stored(metadata, self.metadata), "fresh")
+        self.store(stored(postings, fresh.df), fresh.df)
+
+    def compact(self) -> None:
+        """Write each part as one segment and delete all folders that no longer count. Not while others read."""
+        manifest = self._manifest()
+        seg, parts = self._append(self._postings(manifest))
+        kept = {"number": manifest["number"], "postings": {str(p): [seg] for p in parts}, "metadata": manifest["metadata"]}
+        self._commit(kept)
+        for name, live in (("postings/part=*", {seg}), ("metadata", set(kept["metadata"]))):
+            fs, where = self._fs(f"{name}/seg=*")
+            for f in fs.globStatus(where) or []:
+                if f.getPath().getName().removeprefix("seg=") not in live:
+                    fs.delete(f.getPath(), True)
 
     def statistics(self) -> DataFrame:
         return statistics(self.metadata, self.postings)
+
+
+class HistogramStore(Versioned):
+    """Pitch-class histograms with the path of their resource. One a resource: storing it again replaces it."""
+
+    _SCHEMAS = {"histograms": "resource_id int, path string, bins array<bigint>, seg string"}
+
+    @property
+    def histograms(self) -> DataFrame:
+        return self._segments("histograms", self._manifest())
+
+    def store(self, fresh: DataFrame) -> None:
+        manifest = self._manifest()
+        kept = Written(fresh.select("resource_id", "path", "bins").dropDuplicates(["resource_id"]), "histograms")
+        old = self._segments("histograms", manifest)
+        if old.join(kept.df.select("resource_id"), "resource_id", "left_semi").isEmpty():
+            manifest["histograms"].append(self._segment("histograms", kept.df))
+        else:
+            manifest["histograms"] = [self._segment("histograms", old.join(kept.df.select("resource_id"), "resource_id", "left_anti").unionByName(kept.df))]
+        self._commit(manifest)
+        kept.drop()

@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from echolattice.config import AlgorithmConfig
+from echolattice.operators.index import only_parts, small
+from echolattice.runtime import Written
 
 PAIR = ("query_id", "ref_id")
 #: Hits in time order, with a full tie rule.
@@ -34,18 +36,28 @@ def near_hash_join(queries: DataFrame, index: DataFrame, config: AlgorithmConfig
     """``query_id, ref_id, query_time, query_f1, match_time, match_f1, hash, near_hash, delta_t``: postings whose hash lies within ``query_range`` of a query print's.
 
     ``queries`` has ``query_id, hash, t1, f1``, ``index`` ``hash, resource_id, t1, f1``. Repeated query prints repeat their hits; the time and bin of a hash are those of its last print.
-    ``avoid`` (``query_id, resource_id``) drops postings before the join. The range becomes 2 * range + 1 equal hashes, so the join is an equi-join: no product, and adaptive execution splits
-    hot hashes or broadcasts a small query side by its measured size.
+    ``avoid`` (``query_id, resource_id``) are references that a query must not meet; they are a condition of the join itself. The range becomes 2 * range + 1 equal hashes, so the join is an equi-join.
+
+    The query side is stored and its size known: up to MOST_BROADCAST_ROWS it goes to the postings, which then aren't shuffled, so a hash that holds a large part of the index stays where it lies; a larger one
+    meets them in a shuffle in which adaptive execution splits hot hashes. An index with a column ``part`` (see :mod:`index`) is read only in the parts of the query hashes;
+    the postings of one with a column ``query_id`` are for that query alone.
     """
     r = config.query_range
     last = F.max(F.struct("t1", "f1"))
     asked = queries.where("hash IS NOT NULL").groupBy("query_id", "hash").agg(F.count(F.lit(1)).alias("_times"), last.alias("_last"))
     asked = asked.select("query_id", "hash", "_times", F.col("_last.t1").alias("query_time"), F.col("_last.f1").alias("query_f1"), F.explode(F.sequence(F.col("hash") - r, F.col("hash") + r)).alias("near_hash"))
-    postings = index.select(F.col("hash").alias("near_hash"), F.col("resource_id").alias("ref_id"), F.col("t1").alias("match_time"), F.col("f1").alias("match_f1"))
-    hits = asked.join(postings, "near_hash")
     if avoid is not None:
-        hits = hits.join(avoid.select("query_id", F.col("resource_id").alias("ref_id")), list(PAIR), "left_anti")
-    hits = hits.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+        asked = asked.join(avoid.groupBy("query_id").agg(F.collect_set("resource_id").alias("_avoid")), "query_id", "left")
+    stored = Written(asked, "asked")
+    if "part" in index.columns:
+        index = only_parts(index, stored, "near_hash")
+    postings = index.select(F.col("hash").alias("_near"), F.col("resource_id").alias("ref_id"), F.col("t1").alias("match_time"), F.col("f1").alias("match_f1"), *([F.col("query_id").alias("_only")] if "query_id" in index.columns else []))
+    condition = F.col("near_hash") == F.col("_near")
+    if "query_id" in index.columns:
+        condition = condition & (F.col("query_id") == F.col("_only"))
+    if avoid is not None:
+        condition = condition & ~F.coalesce(F.array_contains("_avoid", F.col("ref_id")), F.lit(False))
+    hits = postings.join(small(stored.df, stored.rows), condition).withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
     return hits.select("query_id", "ref_id", "query_time", "query_f1", "match_time", "match_f1", "hash", "near_hash", (F.col("match_time") - F.col("query_time")).alias("delta_t"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from echolattice.functions.units import hertz_to_relative_cent
+from echolattice.runtime import written
 
 BINS = 1200
 
@@ -28,47 +27,47 @@ def dense(histogram: DataFrame, bins: int = BINS) -> DataFrame:
     return x.select("resource_id", F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("bigint"))).alias("bins"))
 
 
-def best_shift(q: np.ndarray, r: np.ndarray) -> tuple[float, int]:
-    """Largest intersection over all circular shifts of ``r``, relative to the larger sum, and its first shift; (0, 0) if both are empty."""
-    most = max(q.sum(), r.sum())
-    if most == 0:
-        return 0.0, 0
+def best_shifts(q: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For one histogram against the rows of ``refs``: the largest intersection over all circular shifts of a row, relative to the larger sum, and its first shift; (0, 0) if both are empty."""
     n = len(q)
-    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([r, r[:-1]]), n)
-    sums = np.minimum(q[None, :], rows).sum(1)
-    at = int(sums.argmax())
-    return float(sums[at]) / float(most), at
-
-
-def shift_matches(queries: DataFrame, references: DataFrame) -> DataFrame:
-    """``query_id, ref_id, match, shift, ratio``: each stated query against every reference. ``queries`` is the asked-for set; it goes to each task by broadcast, so it is checked to hold at most 10,000 histograms (48 MB)."""
-    asked = queries.select(F.col("resource_id").alias("query_id"), F.col("bins").alias("q"))
-    if asked.limit(10_001).count() > 10_000:
-        raise ValueError("ask for at most 10,000 histograms at once")
-    pairs = references.select(F.col("resource_id").alias("ref_id"), F.col("bins").alias("r")).join(F.broadcast(asked))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
-            found = [best_shift(np.asarray(q), np.asarray(r)) for q, r in zip(x["q"], x["r"])]
-            yield pd.DataFrame({"query_id": x["query_id"], "ref_id": x["ref_id"], "match": [f[0] for f in found], "shift": [f[1] for f in found]})
-
+    turned = np.concatenate([refs, refs[:, :-1]], axis=1)
+    sums = np.zeros(refs.shape, np.int64)
+    for i in np.flatnonzero(q):  # empty bins of the query add nothing to any shift
+        sums += np.minimum(turned[:, i : i + n], q[i])
+    most = np.maximum(q.sum(), refs.sum(1))
+    at = sums.argmax(1)
+    return sums[np.arange(len(refs)), at] / np.maximum(most, 1), at
+
+
+def _blocks(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a ``block`` number; blocks hold about ``rows`` rows."""
+    return df.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-df.count() // rows)))).cast("int"))
+
+
+def shift_matches(queries: DataFrame, references: DataFrame, block_rows: int = 256) -> DataFrame:
+    """``query_id, ref_id, match, shift, ratio``: each stated query against every reference, of ``resource_id, bins``.
+
+    Both are cut into blocks of about ``block_rows`` histograms, and each task takes one block of either: a block nested loop whose memory doesn't grow with the number of queries or references. Repeated rows have a result each; an empty side gives none.
+    """
+    asked = _blocks(written(queries.select(F.col("resource_id").alias("id"), "bins"), "queries"), block_rows)
+    held = _blocks(written(references.select(F.col("resource_id").alias("id"), "bins"), "references"), block_rows)
+    every = lambda x: x.select(F.col("block").alias("_b")).distinct().agg(F.collect_list("_b")).scalar()
+    a = asked.select("id", "bins", F.col("block").alias("a"), F.explode(every(held)).alias("b"))
+    b = held.select("id", "bins", F.col("block").alias("b"), F.explode(every(asked)).alias("a"))
     kind = queries.schema["resource_id"].dataType.simpleString()
-    out = pairs.mapInPandas(run, f"query_id {kind}, ref_id {kind}, match double, shift int")
-    return out.withColumn("ratio", F.lit(100.0) * F.pow(F.lit(2.0), F.col("shift") / F.lit(1200.0)))
 
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"query_id": left["id"][:0], "ref_id": right["id"][:0], "match": np.zeros(0), "shift": np.zeros(0, np.int32)})
+        refs = np.stack(right["bins"].to_list()).astype(np.int64)
+        found = [best_shifts(np.asarray(q, np.int64), refs) for q in left["bins"]]
+        return pd.DataFrame({"query_id": np.repeat(left["id"].to_numpy(), len(right)), "ref_id": np.tile(right["id"].to_numpy(), len(left)), "match": np.concatenate([f[0] for f in found]), "shift": np.concatenate([f[1] for f in found]).astype(np.int32)})
 
-def shift_matches_columns(queries: DataFrame, references: DataFrame) -> DataFrame:
-    """The same without Python, for histograms of few bins."""
-    asked = queries.select(F.col("resource_id").alias("query_id"), F.col("bins").alias("q"))
-    pairs = references.select(F.col("resource_id").alias("ref_id"), F.col("bins").alias("r")).join(F.broadcast(asked))
-    n = F.size("q")
-    total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, v: s + v)
-    turned = lambda s: F.concat(F.slice("r", s + 1, n), F.slice("r", F.lit(1), s))
-    sums = F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.struct(total(F.zip_with("q", turned(s), lambda a, b: F.least(a, b))).alias("v"), (-s).alias("k")))
-    x = pairs.withColumn("b", F.array_max(sums)).withColumn("most", F.greatest(total("q"), total("r")))
-    return x.select("query_id", "ref_id", F.coalesce(F.try_divide(F.col("b.v").cast("double"), F.col("most").cast("double")), F.lit(0.0)).alias("match"), (-F.col("b.k")).alias("shift"))
+    out = a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInPandas(run, f"query_id {kind}, ref_id {kind}, match double, shift int")
+    return out.withColumn("ratio", F.lit(100.0) * F.pow(F.lit(2.0), F.col("shift") / F.lit(1200.0)))
 
 
-def ranked(matches: DataFrame) -> DataFrame:
-    """``rank`` of the references of each query, best first; equal matches all keep a place."""
-    return matches.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("match"), "ref_id")))
+def ranked(matches: DataFrame, most: int | None = None) -> DataFrame:
+    """``rank`` of the references of each query, best first, at most ``most``; equal matches all keep a place."""
+    x = matches.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("match"), "ref_id")))
+    return x if most is None else x.where(F.col("rank") <= most)

@@ -1,4 +1,5 @@
 import random
+import re
 from itertools import product
 
 import pytest
@@ -133,6 +134,62 @@ def test_stored_index_lifecycle(spark, tmp_path):
     assert ix.postings.count() == 0
 
 
+def files_of(path, *more):
+    return sorted(p for p in path.glob("/".join(more)) if p.suffix == ".parquet")
+
+
+def test_a_hot_hash_spreads_over_files_and_lookups_read_only_their_parts(spark, tmp_path):
+    meta = spark.createDataFrame([(1, "a", 9.0, 1)], "resource_id int, path string, duration double, num_fingerprints bigint")
+    hot, part = 3 << 28, 1 << 28
+    ix = index.StoredIndex(spark, f"file://{tmp_path}/ix")
+    ix.store(postings(spark, [(hot, 1, t, 5) for t in range(4000)] + [(k * part + 9, 1, k, 5) for k in range(20)] + [(None, 1, 2, 3), (4, None, 2, 3)]), meta)
+    assert ix.postings.count() == 4020 and len(files_of(tmp_path, "ix/postings/part=3/seg=*/*.parquet")) >= 3
+    asked = prints(spark, [(9, hot + 2, 1, 1), (9, 7 * part + 9, 2, 2)])
+    assert match.near_hash_join(asked, ix.postings, CONSTANT_Q).count() == 4001
+    before = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    try:
+        plan = match.near_hash_join(asked, ix.postings, CONSTANT_Q)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", before)
+    (scan,) = [line for line in plan.splitlines() if "FileScan" in line and "/postings" in line]
+    assert re.search(r"PartitionFilters: .*part#\d+ IN \((3,7|7,3)\).*PushedFilters", scan)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_a_write_that_fails_leaves_the_index(spark, tmp_path, monkeypatch):
+    meta = "resource_id int, path string, duration double, num_fingerprints bigint"
+    ix = index.StoredIndex(spark, f"file://{tmp_path}/ix")
+    ix.store(postings(spark, [(5, 1, 1, 1), (1 << 30, 1, 2, 2)]), spark.createDataFrame([(1, "a", 9.0, 2)], meta))
+    before = [sorted(map(tuple, x.collect())) for x in (ix.postings, ix.metadata)]
+
+    def fail(self, manifest):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(index.Versioned, "_commit", fail)
+        for act in (lambda: ix.store(postings(spark, [(6, 2, 1, 1)]), spark.createDataFrame([(2, "b", 9.0, 1)], meta)), lambda: ix.delete(postings(spark, [(5, 1, 1, 1)]), spark.createDataFrame([(1,)], "resource_id int"))):
+            with pytest.raises(OSError):
+                act()
+    assert [sorted(map(tuple, x.collect())) for x in (ix.postings, ix.metadata)] == before
+    kept = files_of(tmp_path, "ix/postings/part=4/seg=*/*.parquet")
+    ix.delete(postings(spark, [(5, 1, 1, 1)]), spark.createDataFrame([(9,)], "resource_id int"))
+    assert [tuple(r)[:4] for r in ix.postings.collect()] == [(1 << 30, 1, 2, 2)] and files_of(tmp_path, "ix/postings/part=4/seg=*/*.parquet") == kept
+    ix.store(postings(spark, [(5, 1, 1, 1), (6, 2, 1, 1)]), spark.createDataFrame([(2, "b", 9.0, 1)], meta))
+    rows = sorted(tuple(r)[:4] for r in ix.postings.collect())
+    ix.compact()
+    assert sorted(tuple(r)[:4] for r in ix.postings.collect()) == rows == [(5, 1, 1, 1), (6, 2, 1, 1), (1 << 30, 1, 2, 2)] and ix.metadata.count() == 2
+    assert len(list(tmp_path.glob("ix/postings/part=*/seg=*"))) == 2 and len(list(tmp_path.glob("ix/metadata/seg=*"))) == 1
+
+
+def test_pairs_are_compared_on_their_own(spark):
+    """The second recording of a pair meets the first only, not the equal first recordings of other pairs."""
+    x = spark.createDataFrame([(r, h * 10, h * 200 + r, 1) for r in (1, 2, 3) for h in range(40)] + [(4, 9999, 1, 1)], "resource_id int, hash bigint, t1 int, f1 int")
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (3, 3), (4, 1), (1, 2)], "first_id int, second_id int")
+    got = sorted(map(tuple, dedup.shared_percent(pairs, x, CONSTANT_Q).collect()))
+    assert [g[:2] for g in got] == [(1, 2), (2, 1), (3, 3), (4, 1)] and got[3][2] == 0 and got[0][2] == got[1][2] == got[2][2] > 30
+
+
 def test_upsert_and_skip(spark):
     meta = "resource_id int, path string, duration double, num_fingerprints bigint"
     old, new = spark.createDataFrame([(1, "a", 1.0, 1), (2, "b", 2.0, 2)], meta), spark.createDataFrame([(2, "c", 3.0, 3)], meta)
@@ -150,11 +207,32 @@ def test_window_counts(spark, duration, starts):
 def test_windows_are_closed(spark):
     c = CONSTANT_Q.but(sample_rate=128)
     x = spark.createDataFrame([(1, 5, t, 1) for t in (0, 20, 22, 25, 26, 45)], "resource_id int, hash bigint, t1 int, f1 int")
-    spans = monitor.windows(spark.createDataFrame([(1, 100.0)], "resource_id int, duration double"))
-    got = monitor.in_windows(x, spans, c).groupBy("query_id.start").count().collect()
+    got = monitor.in_windows(x, spark.createDataFrame([(1, 100.0)], "resource_id int, duration double"), c).groupBy("query_id.start").count().collect()
     assert dict(got)[0.0] == 4 and dict(got)[20.0] == 5
 
 
+@pytest.mark.parametrize(("window", "overlap"), [(25.0, 5.0), (10.0, 7.5), (0.7, 0.1)])
+def test_prints_meet_the_windows_that_hold_them(spark, window, overlap):
+    """As comparing every print with every window does, at steps that floats can't hold exactly too."""
+    c = CONSTANT_Q.but(sample_rate=1280)
+    x = spark.createDataFrame([(r, 5, t, 1) for r, n in ((1, 900), (2, 240), (3, 100), (4, 900)) for t in range(n)], "resource_id int, hash bigint, t1 int, f1 int")
+    durations = spark.createDataFrame([(1, 90.0), (2, 24.0), (3, 100.0), (4, None)], "resource_id int, duration double")
+    spans = monitor.windows(durations, window, overlap)
+    every = x.join(spans, "resource_id").where(match.seconds(F.col("t1"), c).between(F.col("start"), F.col("stop")))
+    want = sorted((r.resource_id, r.start, r.t1) for r in every.collect())
+    got = sorted((r.query_id.resource_id, r.query_id.start, r.t1) for r in monitor.in_windows(x, durations, c, window, overlap).collect())
+    assert got == want and len(got) > 500
+
+
+def test_windows_without_a_result_have_an_empty_row(spark):
+    c = CONSTANT_Q.but(sample_rate=128)
+    x = spark.createDataFrame([(1, h * 10, h, 1) for h in range(25)], "resource_id int, hash bigint, t1 int, f1 int")
+    index_ = x.withColumn("resource_id", F.explode(F.array(F.lit(7), F.lit(8))))
+    durations = spark.createDataFrame([(1, 66.0), (2, 30.0)], "resource_id int, duration double")
+    got = sorted((r.resource_id, r.start, r.ref_id or 0, r.score > 0, r.label) for r in monitor.monitor(x, index_, durations, c, empty=True).collect())
+    assert got == [(1, 0.0, 7, True, "1-0.0_25.0"), (1, 0.0, 8, True, "1-0.0_25.0"), (1, 20.0, 0, False, "1-20.0_45.0"), (1, 40.0, 0, False, "1-40.0_65.0"), (2, 0.0, 0, False, "2-0.0_25.0")]
+
+
 def test_histograms(spark):
     hz = lambda cent: 8.17579892 * 2 ** (cent / 1200)
     x = spark.createDataFrame([(1, hz(6000)), (1, hz(6000.2)), (1, hz(7199.8)), (1, hz(6700)), (2, 0.0)], "resource_id int, hz double")
@@ -162,8 +240,46 @@ def test_histograms(spark):
     q = pch.dense(spark.createDataFrame([(1, 0, 3), (1, 7, 5)], "resource_id int, bin int, cnt bigint"), 24)
     r = pch.dense(spark.createDataFrame([(2, 4, 3), (2, 11, 5), (3, 0, 8)], "resource_id int, bin int, cnt bigint"), 24)
     want = {(1, 2): (1.0, 4), (1, 3): (5 / 8, 17)}
-    for f in (pch.shift_matches, pch.shift_matches_columns):
-        assert {(x.query_id, x.ref_id): (x.match, x.shift) for x in f(q, r).collect()} == want
+    for rows in (256, 1):
+        assert {(x.query_id, x.ref_id): (x.match, x.shift) for x in pch.shift_matches(q, r, rows).collect()} == want
+    assert pch.shift_matches(q.limit(0), r).count() == 0 and pch.shift_matches(q, r.limit(0)).count() == 0
+
+
+def test_shifts_in_blocks_equal_every_shift_tried(spark):
+    r = random.Random(3)
+    hist = lambda: [r.choice([0, 0, 0, r.randrange(9)]) for _ in range(24)]
+    queries, refs = {i: hist() for i in range(7)}, {i: hist() for i in range(40, 63)}
+    queries[3] = refs[44] = [0] * 24
+    df = lambda x: spark.createDataFrame(list(x.items()), "resource_id int, bins array<bigint>")
+    want = {}
+    for (i, q), (j, f) in product(queries.items(), refs.items()):
+        sums = [sum(min(a, f[(k + s) % 24]) for k, a in enumerate(q)) for s in range(24)]
+        most = max(sum(q), sum(f))
+        want[i, j] = (max(sums) / most if most else 0.0, sums.index(max(sums)))
+    got = pch.shift_matches(df(queries), df(refs), 4).collect()
+    assert {(x.query_id, x.ref_id): (x.match, x.shift) for x in got} == want and len(got) == 161
+    best = pch.ranked(pch.shift_matches(df(queries), df(refs)), 2).collect()
+    assert len(best) == 14 and {x["rank"] for x in best} == {1, 2}
+
+
+def test_same_print_equals_every_pair(spark):
+    r = random.Random(5)
+    x = spark.createDataFrame([(i, r.choice([7, 7, 8, None]), r.randrange(1000)) for i in range(200)], "resource_id int, hash bigint, t1 int")
+    rows = x.collect()
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[1] is not None and a[1] == b[1] and abs(a[2] - b[2]) < 100)
+    assert sorted((p.a_resource_id, p.b_resource_id) for p in fingerprints.same_print(x, x).collect()) == want and len(want) > 500
+
+
+def test_blocks_of_frames_change_nothing(spark, monkeypatch):
+    r = random.Random(4)
+    cells = {(t, f): r.random() for t in range(75) for f in range(12)}
+    x = grid(spark, cells, 75, 12)
+    run = lambda: (sorted(map(tuple, peaks.event_points(x, SMALL, 12).collect())), sorted(map(tuple, peaks.horizontal_max(peaks.vertical_max(x, 5), 9).collect())), sorted(map(tuple, peaks.magnitude_3x3(x).collect())))
+    whole = run()
+    monkeypatch.setattr(peaks, "BLOCK", 10)
+    assert run() == whole and len(whole[0]) > 5 and len(whole[1]) == len(whole[2]) == 900
+    with pytest.raises(ValueError):
+        peaks.horizontal_max(peaks.vertical_max(x, 5), 11)
 
 
 def test_content_duplicates(spark):
