@@ -1,11 +1,13 @@
-"""Command line: ``python -m echolattice.cli COMMAND [files] [name=value ...]``. A unique prefix of a command is enough; without one the settings are shown."""
+"""Command line: ``python -m echolattice.cli COMMAND [files] [name=value ...]``. A unique prefix of a command is enough; without one the settings are shown. ``stats N`` shows them every N seconds (``polls=K``: K times)."""
 
 from __future__ import annotations
 
 import os
 import sys
+import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from echolattice import __version__
@@ -38,7 +40,11 @@ def show(df: DataFrame) -> None:
 
 
 def printable(found: DataFrame) -> DataFrame:
-    return result_lines(found.select(F.lit(1).alias("query_index"), F.lit(1).alias("total_queries"), "query_path", "query_start", "query_stop", "ref_path", "ref_id", "ref_start", "ref_stop", F.col("score").alias("match_score"), "time_factor", F.col("freq_factor").alias("frequency_factor"), "coverage"))
+    """Result lines in the order of the queries and their ranks, each with the number of its query and how many there are. Queries are numbered by path: one row each, in one task."""
+    w = W.orderBy("query_path")
+    numbered = found.select("query_path").distinct().select("query_path", F.row_number().over(w).alias("query_index"), F.count(F.lit(1)).over(W.partitionBy(F.lit(0))).alias("total_queries"))
+    x = found.join(numbered, "query_path").orderBy("query_index", "rank")
+    return result_lines(x.select("query_index", "total_queries", "query_path", "query_start", "query_stop", "ref_path", "ref_id", "ref_start", "ref_stop", F.col("score").alias("match_score"), "time_factor", F.col("freq_factor").alias("frequency_factor"), "coverage"))
 
 
 def main(argv: list[str], spark: SparkSession | None = None) -> int:
@@ -53,16 +59,16 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
     where = settings.pop("index", os.path.expanduser("~/.echolattice"))
     file = settings.pop("settings", "")
     text = open(file, encoding="utf-8").read() if file else ""
-    config = EngineConfig.load(text, **settings)
+    config = EngineConfig.load(text, **{k: v for k, v in settings.items() if k != "polls"})
     if name == "configuration":
         for k, v in config.dump():
             print(f"{k} = {v}")
         return 0
     engine = Engine(spark or SparkSession.builder.appName("echolattice").getOrCreate(), where, config)
     paths = [a for a in args if not a.startswith("-")]
-    if name == "query":
+    if name in ("query", "monitor"):
         print(HEADER)
-        show(engine.query(paths) if engine.strategy == "pch" else printable(engine.query(paths)))
+        show(printable(getattr(engine, name)(paths)))
     elif name == "same":
         show(engine.same(*paths[:2]))
     elif name == "print":
@@ -70,7 +76,11 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
     elif name == "deduplicate":
         show(engine.deduplicate(paths, "-content" in flags))
     elif name == "stats":
+        every, times = (float(args[0]) if args else 0.0), int(settings.pop("polls", 0))
         show(engine.stats())
+        while args and (times := times - 1) != 0:
+            time.sleep(every)
+            show(engine.stats())
     elif name == "load":
         engine.load(*paths[:2])
     elif name in ("clear", "delete"):

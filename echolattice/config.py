@@ -74,6 +74,7 @@ class EngineConfig:
     max_file_size_mb: int = 6_000
     check_duplicates: bool = True
     cache_folder: str = ""
+    decoder: str = ""
     storage: str = "table"
     constant_q: AlgorithmConfig = field(default=CONSTANT_Q)
     fft: AlgorithmConfig = field(default=FFT)

@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import io
 import math
-import wave
+import shlex
+import subprocess
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echolattice.config import AlgorithmConfig, PitchConfig
 from echolattice.operators.peaks import log_frequency_windows
 
 MAX_BYTES = 1 << 20
-#: Samples a constant-Q frame looks at.
-CONSTANT_Q_WINDOW = 8192
+#: Most bytes of a file that can be handed over as one value.
+MOST_CONTENT = (1 << 31) - 1 - 64
 
 
 def admitted(spark: SparkSession, paths: list[str], max_size_mb: int = 6_000, suffix: str | None = None) -> DataFrame:
@@ -42,42 +42,119 @@ def listed(spark: SparkSession, arguments: list[str]) -> list[str]:
         if a.startswith("-"):
             continue
         if a.endswith(".txt"):
-            with open(a, encoding="utf-8") as f:
-                out += [line.strip() for line in f if line.strip()]
+            out += [line for r in spark.read.text(a).collect() if (line := r[0].strip())]  # paths have to be known to plan a scan
         else:
             out.append(a)
     return out
 
 
+class Undecodable(ValueError):
+    """Content that isn't sound in a known form; the text is the reason."""
+
+
+def wav_header(content: bytes) -> tuple[int, int, int, int, int, int]:
+    """Format (1 whole numbers, 3 floats), channels, rate, bits a sample, and where the samples begin and end."""
+    if len(content) < 12 or content[:4] != b"RIFF" or content[8:12] != b"WAVE":
+        raise Undecodable("not a WAV file")
+    at, form = 12, None
+    while at + 8 <= len(content):
+        name, size = content[at : at + 4], int.from_bytes(content[at + 4 : at + 8], "little")
+        body = at + 8
+        if name == b"fmt ":
+            part = content[body : body + size]
+            if len(part) < 16:
+                raise Undecodable("format too short")
+            number = lambda i, n: int.from_bytes(part[i : i + n], "little")  # noqa: E731, B023
+            kind = number(24, 2) if number(0, 2) == 0xFFFE and len(part) >= 26 else number(0, 2)
+            form = (kind, number(2, 2), number(4, 4), number(14, 2))
+        elif name == b"data":
+            if form is None:
+                raise Undecodable("samples before their format")
+            kind, channels, rate, bits = form
+            if (kind, bits) not in ((1, 8), (1, 16), (1, 24), (1, 32), (3, 32), (3, 64)) or not channels or not rate:
+                raise Undecodable(f"format {kind} with {bits} bits")
+            end = min(body + size, len(content))
+            return kind, channels, rate, bits, body, end - (end - body) % (channels * bits // 8)
+        at = body + size + size % 2
+    raise Undecodable("no samples")
+
+
+def resample(x: np.ndarray, own: int, rate: int, taps: int = 16) -> np.ndarray:
+    """At ``rate`` instead of ``own`` samples a second, by a windowed sinc that cuts what the lower of the two can't hold."""
+    if own == rate or not len(x):
+        return x
+    cut = min(1.0, rate / own)
+    reach = int(math.ceil(taps / cut))
+    out = np.zeros(int(len(x) * rate / own))
+    padded = np.pad(x, reach + 1)
+    for at in range(0, len(out), 1 << 18):
+        spot = np.arange(at, min(len(out), at + (1 << 18))) * (own / rate)
+        base = np.floor(spot).astype(np.int64)
+        part = np.zeros(len(spot))
+        for k in range(-reach, reach + 1):
+            far = spot - base - k
+            part += padded[base + k + reach + 1] * np.where(np.abs(far) < reach, np.sinc(cut * far) * cut * (0.5 + 0.5 * np.cos(np.pi * far / reach)), 0.0)
+        out[at : at + len(spot)] = part
+    return out
+
+
+def decoded(content: bytes, decoder: str = "") -> bytes:
+    """Content as WAV: itself, or what the command ``decoder`` makes of it (from its input to its output) where it isn't WAV already."""
+    if not decoder or content[:4] == b"RIFF":
+        return content
+    done = subprocess.run(shlex.split(decoder), input=content, capture_output=True)  # noqa: S603 - the command is the user's setting
+    if done.returncode:
+        raise Undecodable(f"decoder ended with {done.returncode}: {done.stderr[-200:].decode(errors='replace').strip()}")
+    return done.stdout
+
+
 def decode_wav(content: bytes, rate: int) -> np.ndarray:
-    """Mono samples in -1 to 1 at ``rate``, by linear interpolation."""
-    with wave.open(io.BytesIO(content)) as w:
-        width, channels, own = w.getsampwidth(), w.getnchannels(), w.getframerate()
-        raw = w.readframes(w.getnframes())
-    kinds = {1: np.uint8, 2: "<i2", 4: "<i4"}
-    if width not in kinds:
-        raise ValueError(f"{8 * width} bits a sample")
-    x = np.frombuffer(raw, kinds[width]).astype(np.float64)
-    x = (x - 128) / 128 if width == 1 else x / 2 ** (8 * width - 1)
-    x = x.reshape(-1, channels).mean(1)
-    if own != rate and len(x):
-        x = np.interp(np.arange(int(len(x) * rate / own)) * own / rate, np.arange(len(x)), x)
-    return x
-
-
-def pcm(files: DataFrame, rate: int, step: int, context: int, halo: int = 0, frames_per_block: int = 4096) -> DataFrame:
-    """``resource_id, first_frame, own_from, own_to, frames, samples`` from ``resource_id, content`` (WAV): blocks of ``frames_per_block`` steps.
+    """Mono samples in -1 to 1 at ``rate``, from 8, 16, 24 or 32 bits or from floats."""
+    kind, channels, own, bits, begin, end = wav_header(content)
+    raw = memoryview(content)[begin:end]
+    if kind == 3:
+        x = np.frombuffer(raw, f"<f{bits // 8}").astype(np.float64)
+    elif bits == 24:
+        x = np.zeros((len(raw) // 3, 4), np.uint8)
+        x[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        x = x.reshape(-1).view("<i4") / 2.0**31
+    elif bits == 8:
+        x = (np.frombuffer(raw, np.uint8) - 128.0) / 128
+    else:
+        x = np.frombuffer(raw, f"<i{bits // 8}") / 2.0 ** (bits - 1)
+    return resample(x.reshape(-1, channels).mean(1), own, rate)
+
+
+def problems(content: Column, decoder: str = "") -> Column:
+    """Why content can't be decoded; null where it can."""
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        def one(c: bytes | None) -> str | None:
+            try:
+                wav_header(decoded(bytes(c or b""), decoder))
+            except Undecodable as e:
+                return str(e)
+            return None
+
+        return values.map(one).astype(object)
+
+    return run(content)
+
+
+def pcm(files: DataFrame, rate: int, step: int, context: int, halo: int = 0, frames_per_block: int = 4096, decoder: str = "") -> DataFrame:
+    """``resource_id, first_frame, own_from, own_to, frames, samples`` from ``resource_id, content``: blocks of ``frames_per_block`` steps.
 
     A block's samples begin ``halo`` frames before its own ones and end ``halo`` frames and ``context`` samples after them, so windows over frames need no other block. ``frames`` is the recording's number of
-    whole frames. Content that isn't WAV gives no rows.
+    whole frames. Content that can't be decoded gives no rows; :func:`problems` tells why.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in parts:
             for rid, content in zip(x["resource_id"], x["content"]):
                 try:
-                    samples = decode_wav(bytes(content), rate).astype(np.float32)
-                except (wave.Error, EOFError, ValueError):
+                    samples = decode_wav(decoded(bytes(content), decoder), rate).astype(np.float32)
+                except Undecodable:
                     continue
                 frames = max(0, (len(samples) - context) // step)
                 for own in range(0, max(frames, 1), frames_per_block):
@@ -88,17 +165,17 @@ def pcm(files: DataFrame, rate: int, step: int, context: int, halo: int = 0, fra
     return files.select("resource_id", "content").mapInPandas(run, "resource_id int, first_frame int, own_from int, own_to int, frames int, samples array<float>")
 
 
-def durations(files: DataFrame) -> DataFrame:
+def durations(files: DataFrame, decoder: str = "") -> DataFrame:
     """``resource_id, duration`` in seconds from the WAV header; null where there is none."""
 
     @F.pandas_udf("double")
     def seconds(content: pd.Series) -> pd.Series:
-        def one(c: bytes) -> float | None:
+        def one(c: bytes | None) -> float | None:
             try:
-                with wave.open(io.BytesIO(bytes(c))) as w:
-                    return w.getnframes() / w.getframerate()
-            except (wave.Error, EOFError, ZeroDivisionError, TypeError):
+                _, channels, rate, bits, begin, end = wav_header(decoded(bytes(c or b""), decoder))
+            except Undecodable:
                 return None
+            return (end - begin) / (channels * bits // 8) / rate
 
         return content.map(one).astype("float64")
 
@@ -140,12 +217,16 @@ def bands(config: AlgorithmConfig) -> int:
 
 
 def window_size(config: AlgorithmConfig) -> int:
-    return CONSTANT_Q_WINDOW if config.kind == "constant_q" else config.block_size
+    """Samples a frame looks at: for constant-Q those of its longest kernel, that of the lowest band, rounded up to a number that transforms fast."""
+    if config.kind != "constant_q":
+        return config.block_size
+    longest = math.ceil(config.sample_rate / config.min_frequency / (2 ** (1 / config.bands_per_octave) - 1))
+    return -(-longest // 2048) * 2048
 
 
 def constant_q_magnitude(config: AlgorithmConfig) -> Callable[[np.ndarray], np.ndarray]:
     """Windows of samples to magnitudes of logarithmic bands: a kernel of Hann-windowed tones, applied in the frequency domain where it isn't negligible."""
-    size = CONSTANT_Q_WINDOW
+    size = window_size(config)
     q = 1 / (2 ** (1 / config.bands_per_octave) - 1)
     kernels: list[tuple[int, np.ndarray]] = []
     for b in range(bands(config)):

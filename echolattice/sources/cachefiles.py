@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echolattice.config import AlgorithmConfig
 from echolattice.operators.match import seconds
+from echolattice.runtime import shuffle_partitions
 
 
 def read_prints(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -14,16 +17,33 @@ def read_prints(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.schema("hash bigint, resource_id int, t1 int, f1 int").option("sep", " ").option("mode", "PERMISSIVE").csv(paths)
 
 
+#: Folders of the print cache; a resource's lines are in one of them.
+BUCKETS = 256
+
+
 def write_prints(prints: DataFrame, path: str, with_bin: bool = True) -> None:
-    """One folder a resource, lines sorted by time; the columns are kept in a single text column, so reading needs no partition discovery."""
+    """Lines sorted by resource and time in ``bucket=N`` folders, a fixed number whatever the number of resources; ranges of (bucket, resource, time) are cut so that a long resource is several files. All columns are in the line, so reading needs no partition discovery."""
     cols = ["hash", "resource_id", "t1", *(["f1"] if with_bin else [])]
-    lines = prints.repartition("resource_id").sortWithinPartitions("resource_id", "t1", "hash").select(F.col("resource_id").alias("id"), F.concat_ws(" ", *cols).alias("value"))
-    lines.write.mode("append").partitionBy("id").text(path)
+    order = ("bucket", "resource_id", "t1", "hash")
+    x = prints.withColumn("bucket", F.pmod(F.hash("resource_id"), F.lit(BUCKETS)))
+    lines = x.repartitionByRange(shuffle_partitions(prints.sparkSession), *order).sortWithinPartitions(*order).select("bucket", F.concat_ws(" ", *cols).alias("value"))
+    lines.write.mode("append").partitionBy("bucket").text(path)
+
+
+def frames_between(start: float, stop: float, config: AlgorithmConfig) -> tuple[int, int]:
+    """First and last frame whose time in seconds lies in the range, both ends inclusive."""
+    step, late = config.seconds_per_block, config.latency_seconds if config.kind == "constant_q" else 0.0
+    low, high = math.floor((start - late) / step), math.ceil((stop - late) / step)
+    while low * step + late < start:
+        low += 1
+    while high * step + late > stop:
+        high -= 1
+    return low, high
 
 
 def between_seconds(prints: DataFrame, start: float, length: float, config: AlgorithmConfig) -> DataFrame:
-    """Prints whose first point lies within the range, both ends inclusive."""
-    return prints.where(seconds(F.col("t1"), config).between(start, start + length))
+    """Prints whose first point lies within the range, both ends inclusive: bounds on the frame itself, so the scan can apply them."""
+    return prints.where(F.col("t1").between(*frames_between(start, start + length, config)))
 
 
 def write_metadata(metadata: DataFrame, path: str) -> None:

@@ -50,8 +50,8 @@ def volume_points(spark: SparkSession, folder: str) -> DataFrame:
     return e.select(F.col("user_id").alias("resource_id"), hours.alias("t"), F.floor("value").cast("int").alias("f"), F.col("value").alias("m"))
 
 
-def pcm_blocks(spark: SparkSession, folder: str, per_block: int = 64, tail: int = 16) -> DataFrame:
-    """Embeddings as sound: the vectors of a label one after the other are its samples, cut into blocks that carry the start of the next one (``resource_id, first_frame, samples``)."""
+def pcm_blocks(spark: SparkSession, folder: str, per_block: int = 64, tail: int = 14) -> DataFrame:
+    """Embeddings as sound: the vectors of a label one after the other are its samples, cut into blocks that carry as much of the next one as a window looks at beyond its step, 896 samples (``resource_id, first_frame, samples``)."""
     frames = table(spark, folder, "embeddings").select(F.col("label").alias("resource_id"), (F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1).alias("t"), "embedding")
     block = F.floor(F.col("t") / per_block)
     both = F.when((F.col("t") % per_block < tail) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
