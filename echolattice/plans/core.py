@@ -8,14 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolattice.config import FFT
+from echolattice.config import CONSTANT_Q, FFT
 from echolattice.functions import hashing, names, units
 from echolattice.functions.murmur import file_hash, murmur32
 from echolattice.operators import dedup, evaluate, fingerprints, index, match, monitor, pch, peaks
 from echolattice.runtime import shared_dir, shuffle_partitions, written
 from echolattice.sources import audio, cachefiles, fixtures
 from echolattice.sources.fixtures import BANDS, SMALL
-from echolattice.sources.tables import table, trimmed
+from echolattice.sources.tables import millis, table, trimmed
 from echolattice.streaming import monitor as live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,6 +117,19 @@ def event_point_print(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(x, "seconds", "hertz", "m")
 
 
+@query
+def event_point_print_fft(spark: SparkSession, folder: str) -> DataFrame:
+    """The linear form of bins in hertz."""
+    x = peaks.event_points(fixtures.spectrogram(spark, folder), LOG, BANDS)
+    return rounded(cachefiles.event_point_table(x, LOG, match.bin_hertz(F.col("f"), LOG)), "seconds", "hertz", "m")
+
+
+@query
+def prints_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The prints of the recordings as text lines."""
+    return fixtures.index(fixtures.points(spark, folder)).select(F.concat_ws(" ", "hash", "resource_id", "t1", "f1").alias("line"))
+
+
 @query
 def spectrum_print(spark: SparkSession, folder: str) -> DataFrame:
     x = cachefiles.dense_matrix(fingerprints.pack(fixtures.points(spark, folder).withColumn("m", F.lit(1.0)), SMALL), BANDS)
@@ -185,6 +198,14 @@ def hamming_distance(spark: SparkSession, folder: str) -> DataFrame:
     return x.select("hash", "resource_id", hashing.hamming(F.col("hash"), F.col("resource_id").cast("bigint")).cast("int").alias("distance"))
 
 
+@query
+def hamming_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """Of integers, negative ones too, and of bit sets of different length."""
+    x = table(spark, folder, "postings").where("resource_id IS NOT NULL AND f1 IS NOT NULL AND t1 IS NOT NULL").select("resource_id", "t1", "f1").distinct()
+    bits = lambda c, n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.getbit(F.col(c), i) == 1)
+    return x.select("resource_id", "t1", "f1", hashing.hamming(-F.col("resource_id"), F.col("t1"), 32).cast("int").alias("ints"), hashing.hamming_bits(bits("resource_id", 31), bits("f1", 9)).alias("bits"))
+
+
 # --- matching
 
 
@@ -206,6 +227,25 @@ def index_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return match.hit_counts(asked, x, SMALL)
 
 
+def _whole_index(spark: SparkSession, folder: str) -> index.StoredIndex:
+    """All postings and metadata, stored as the engine stores them."""
+    ix = index.StoredIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    ix.store(table(spark, folder, "postings"), table(spark, folder, "resource_metadata"))
+    return ix
+
+
+def _postings_matches(spark: SparkSession, folder: str) -> tuple[DataFrame, index.StoredIndex]:
+    ix = _whole_index(spark, folder)
+    asked = ix.postings.where("resource_id % 50 = 0").select(F.col("resource_id").alias("query_id"), "hash", "t1", "f1")
+    return match.query(asked, ix.postings, CONSTANT_Q), ix
+
+
+@query
+def postings_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Resources whose id is divisible by 50, asked for in the whole stored index: lookup, alignment, validation, ranking."""
+    return rounded(_postings_matches(spark, folder)[0], *RESULT)
+
+
 @query
 def hits_per_reference(spark: SparkSession, folder: str) -> DataFrame:
     return _kept(spark, folder).groupBy("query_id", "ref_id").agg(F.count(F.lit(1)).alias("hits"))
@@ -257,8 +297,9 @@ def histogram_fallback(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def metadata_join(spark: SparkSession, folder: str) -> DataFrame:
-    known = spark.range(5).select(F.col("id").cast("int").alias("resource_id"), F.concat(F.lit("archive/"), F.col("id").cast("string"), F.lit(".wav")).alias("path"))
-    return match.with_metadata(match.ranked(_results(spark, folder), 1000), known).select("query_id", "ref_id", "ref_path")
+    """The results of :func:`postings_matches` with their paths; resources without counted prints have no metadata."""
+    found, ix = _postings_matches(spark, folder)
+    return match.with_metadata(found, ix.metadata.where("num_fingerprints > 0")).select("query_id", "ref_id", "ref_path", "rank")
 
 
 @query
@@ -291,9 +332,19 @@ def monitor_matches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
-def dedup_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+def monitor_all_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Every window with all its matches, or an empty row."""
     x = _stored(spark, folder)
-    return dedup.by_fingerprint(x, x, _lasting(spark, folder), SMALL).select("resource_id", "start", "ref_id", "score", "rank")
+    found = monitor.monitor(x.where("resource_id % 2 = 0"), x.where("resource_id % 4 = 0"), _lasting(spark, folder), SMALL, empty=True)
+    return rounded(found.select("resource_id", "start", "stop", "label", "ref_id", "score", "rank", *RESULT), *RESULT)
+
+
+@query
+def dedup_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    """Among the recordings and their altered versions, each of which is a recording of its own."""
+    x = written(fixtures.query_prints(_points(spark, folder)).withColumnRenamed("query_id", "resource_id"), "versions")
+    lasting = _lasting(spark, folder).select(F.explode(F.array(*(F.col("resource_id") + 100 * k for k in range(4)))).alias("resource_id"), "duration")
+    return dedup.by_fingerprint(x, x, lasting, SMALL).select("resource_id", "start", "ref_id", "score", "rank")
 
 
 @query
@@ -348,6 +399,12 @@ def metadata_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return index.lookup(table(spark, folder, "resource_metadata"), seen)
 
 
+@query
+def metadata_delete(spark: SparkSession, folder: str) -> DataFrame:
+    gone = table(spark, folder, "dedup_lines").where("ref_id IS NOT NULL").select(F.col("ref_id").alias("resource_id"))
+    return index.delete_metadata(table(spark, folder, "resource_metadata"), gone)
+
+
 @query
 def metadata_upsert(spark: SparkSession, folder: str) -> DataFrame:
     meta = table(spark, folder, "resource_metadata").select("resource_id", "path", "duration", "num_fingerprints")
@@ -437,11 +494,32 @@ def evaluation_plan(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.evaluation_plan(table(spark, folder, "resource_metadata"))
 
 
+@query
+def evaluation_run(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole evaluation: every fifth recording is held out of the index, each is asked for unaltered, cut, higher and faster, and the first results make the matrix."""
+    x = _points(spark, folder)
+    base, kind = F.col("query_id") % 100, F.floor(F.col("query_id") / 100)
+    tail = F.when(kind == 2, "___pitch_shift_1.02").when(kind == 3, "___time_stretched_0.96").otherwise("")
+    path = F.concat(F.lit("q/"), base.cast("string"), F.when(kind == 1, "_10s-34s").otherwise("_0s-60s"), tail, F.lit(".mp3"))
+    asked = fixtures.query_prints(x)
+    names_ = asked.select("query_id").distinct().withColumn("query_path", path)
+    held = fixtures.index(x.where("resource_id % 5 <> 0"))
+    found = match.with_empty(names_, match.query(asked, held, SMALL, 1)).select("query_path", F.concat(F.lit("a/"), F.col("ref_id").cast("string"), F.lit(".mp3")).alias("ref_path"), "rank")
+    resources = held.select(F.concat(F.lit("a/"), F.col("resource_id").cast("string"), F.lit(".mp3")).alias("path")).distinct()
+    return rounded(evaluate.confusion(evaluate.with_in_index(found, resources)), "tp", "fp", "fn", "tn")
+
+
 @query
 def benchmark_speed(spark: SparkSession, folder: str) -> DataFrame:
-    x = table(spark, folder, "result_lines").where("run_at IS NOT NULL AND query_start IS NOT NULL AND query_stop IS NOT NULL")
-    runs = x.select(F.col("total_queries").alias("step"), F.when(F.col("query_index") % 2 == 0, "store").otherwise("query").alias("kind"), F.greatest(F.col("query_stop") - F.col("query_start"), F.lit(0.0)).alias("audio_seconds"), F.col("coverage").alias("wall_seconds"))
-    return rounded(evaluate.speeds(runs.groupBy("step", "kind").agg(F.round(F.sum("audio_seconds"), 3).alias("audio_seconds"), F.round(F.sum("wall_seconds"), 3).alias("wall_seconds"))), "cumulative_seconds", "store_speed", "query_speed")
+    """A day is a step; lines of even queries stand for storing, and a line takes from its run to its loading."""
+    x = table(spark, folder, "result_lines").where("run_at IS NOT NULL AND loaded_at IS NOT NULL AND query_index IS NOT NULL")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    runs = x.select(
+        F.to_date("run_at").alias("step"), F.when(F.col("query_index") % 2 == 0, "store").otherwise("query").alias("kind"),
+        F.greatest(millis("query_stop") - millis("query_start"), F.lit(0)).alias("a"), (micros("loaded_at") - micros("run_at")).alias("w"),
+    )
+    sums = runs.groupBy("step", "kind").agg((F.sum("a") / 1000).alias("audio_seconds"), (F.sum("w") / 1_000_000).alias("wall_seconds"))
+    return rounded(evaluate.speeds(sums), "cumulative_seconds", "store_speed", "query_speed")
 
 
 @query
@@ -455,7 +533,10 @@ def result_line_print(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def identifier_from_name(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "resource_metadata").select("path", names.identifier(F.col("path"), F.lit(2_035_021_894)).alias("identifier"), names.basename(F.col("path")).alias("base"), names.extension(F.col("path")).alias("ext"), names.folder(F.col("path")).alias("folder"))
+    """Hashes of either sign, and 0 where a resource has no count: then the name's own hash counts."""
+    hashed = (F.coalesce(F.col("num_fingerprints"), F.lit(0)) * F.when(F.col("resource_id") % 2 == 0, 100_003).otherwise(-99_991) % 2_000_000_000).cast("int")
+    x = table(spark, folder, "resource_metadata").withColumn("name", F.when(F.col("resource_id") % 3 == 0, names.basename(F.col("path"))).otherwise(F.col("path")))
+    return x.select("name", names.identifier(F.col("name"), hashed).alias("identifier"), names.basename(F.col("name")).alias("base"), names.extension(F.col("name")).alias("ext"), names.folder(F.col("name")).alias("folder"))
 
 
 @query
@@ -483,11 +564,19 @@ def time_format(spark: SparkSession, folder: str) -> DataFrame:
     return x.select("resource_id", units.clock_time(F.concat(F.lit("20310102-235950-"), F.col("path")), s).alias("clock"), units.span_text(F.floor("duration").cast("double")).alias("span"), F.round(units.convert_time(F.col("duration"), "seconds", "minutes"), 6).alias("minutes"))
 
 
+@query
+def stopwatch_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Durations from nanoseconds to days."""
+    n = table(spark, folder, "resource_metadata").where("num_fingerprints IS NOT NULL").select("resource_id", (F.col("num_fingerprints") * F.element_at(F.lit([1, 1_000, 1_000_000, 1_000_000_000]), (F.pmod("resource_id", F.lit(4)) + 1).cast("int"))).alias("nanos"))
+    return n.select("resource_id", "nanos", units.stopwatch_time(F.col("nanos")).alias("shown"))
+
+
 @query
 def prefix_completion(spark: SparkSession, folder: str) -> DataFrame:
-    registry = spark.createDataFrame([(w,) for w in ("store", "query", "monitor", "delete", "deduplicate", "same", "stats", "metadata", "resolve", "print", "configuration", "load", "clear")], "word string")
-    prefixes = table(spark, folder, "nation").select(F.lower(F.substring("n_name", 1, 1)).alias("prefix")).distinct()
-    return names.complete(registry, prefixes)
+    """The names of all resources as words, asked for by the beginnings of every name, of one to eight characters."""
+    words = table(spark, folder, "resource_metadata").where("path IS NOT NULL").select(names.basename(F.col("path")).alias("word"))
+    prefixes = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda n: F.substring("word", F.lit(1), n))).alias("prefix"))
+    return names.complete(words, prefixes)
 
 
 @query
@@ -499,7 +588,7 @@ def murmur_file_hash(spark: SparkSession, folder: str) -> DataFrame:
 def stft_peaks(spark: SparkSession, folder: str) -> DataFrame:
     config = FFT.but(time_max_filter=9)
     spectra = audio.spectrogram(fixtures.pcm_blocks(spark, folder), config)
-    return peaks.event_points(spectra, config, config.block_size // 2)
+    return peaks.event_points(spectra, config, config.block_size // 2).select("resource_id", "t", "f", F.round("m", 3).alias("m"))
 
 
 @query
@@ -516,7 +605,7 @@ def streaming_monitor(spark: SparkSession, folder: str) -> DataFrame:
     def sink(found: DataFrame, batch: int) -> None:
         found.write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
 
-    run = live.start(stream, stored, SMALL, f"{base}/state", sink).start()
+    run = live.start(stream, stored, SMALL, f"{base}/state", sink, durations=_lasting(spark, folder)).start()
     run.processAllAvailable()
     run.stop()
-    return spark.read.parquet(f"{base}/out").drop("batch")
+    return spark.read.parquet(f"{base}/out").select("resource_id", "start", "ref_id", "score", "rank")
