@@ -1,7 +1,7 @@
 """Token ids of a byte-level BPE vocabulary, by forced-boundary splitting.
 
 A pair of bytes that occurs inside no token of the vocabulary can never be merged over, so text may be cut between such bytes. Cuts are
-made where, besides, the pre-splitting pattern can't tell the difference: inside printable ASCII, or before white space that follows it, away from
+made where, besides, the pre-splitting pattern can't tell the difference: between two characters of any script that aren't white space, or before an ASCII space that follows one, away from
 apostrophes. The fragments of a batch are cut out of its buffer without copying, made distinct, encoded once each, and the ids are gathered back. So the cost
 follows the distinct fragments, and no fragment grows with the document unless the text has no certain cut at all.
 """
@@ -25,7 +25,10 @@ SLICE, MEMO, LONGEST = 4 << 20, 300_000, 64
 
 
 def certain_cuts(tokens: list[bytes]) -> np.ndarray:
-    """For each pair of bytes (first * 256 + second) whether a cut between them changes nothing."""
+    """For each pair of bytes (first * 256 + second) whether a cut between them changes nothing, if neither belongs to white space beyond ASCII (:func:`wide_space`).
+
+    The second byte begins a character. Between characters of one class the pattern goes on, between classes it splits anyway, and so do fragments; only an apostrophe looks further.
+    """
     inside = np.zeros((256, 256), bool)
     for token in tokens:
         b = np.frombuffer(token, np.uint8)
@@ -41,11 +44,31 @@ def certain_cuts(tokens: list[bytes]) -> np.ndarray:
     quote[ord("'")] = True
     space = np.zeros(256, bool)
     space[[9, 10, 11, 12, 13, 32]] = True
+    later, lead = np.zeros(256, bool), np.zeros(256, bool)  # last bytes and first bytes of characters beyond ASCII
+    later[0x80:0xC0], lead[0xC2:0xF5] = True, True
     # after an apostrophe a letter may belong to a contraction; an apostrophe that begins a fragment may begin one
-    safe = shown[:, None] & (shown | space) & ~(quote[:, None] & letter) & ~(sign[:, None] & quote)
+    safe = (shown | later)[:, None] & (shown | lead | space) & ~(quote[:, None] & (letter | lead)) & ~((sign | later)[:, None] & quote)
     return (safe & ~inside).reshape(-1)
 
 
+#: White space beyond ASCII, as the pattern sees it.
+WIDE_SPACES = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def wide_space(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to white space beyond ASCII."""
+    out = np.zeros(len(data), bool)
+    for first in {w[0] for w in WIDE_SPACES}:
+        at = np.flatnonzero(data == first)
+        for w in (w for w in WIDE_SPACES if w[0] == first):
+            hit = at[at + len(w) <= len(data)]
+            for i, byte in enumerate(w[1:], 1):
+                hit = hit[data[hit + i] == byte]
+            for i in range(len(w)):
+                out[hit + i] = True
+    return out
+
+
 class Encoder:
     """Ids of texts; ``path`` is a rank file (base64 token, rank)."""
 
@@ -96,6 +119,9 @@ class Encoder:
         pairs |= data[1:]
         cut = np.zeros(n + 1, bool)
         cut[1:n] = self.cuts[pairs]
+        wide = wide_space(data)
+        if wide.any():
+            cut[1:n] &= ~(wide[:-1] | wide[1:])
         cut[starts] = True
         cut[n] = True
         at = np.flatnonzero(cut)

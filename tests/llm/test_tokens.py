@@ -53,6 +53,27 @@ def test_white_space_beyond_the_pattern_engine():
     assert len(ids([text])[0]) > 1000
 
 
+SCRIPTS = "абяё漢字かなカナ한국éüßابहिक्ไท😀👩\u200d\u0301\u2009\u00a0\u3000\u0085\u2028\u1680'’st re ll \n\t1٣²½aB.-!…«»_\u200b\ufeff"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=SCRIPTS, max_size=80))
+def test_text_of_many_scripts(text):
+    assert ids([text]) == [reference(text)]
+
+
+@pytest.mark.parametrize("word", ["съешь же ещё этих мягких булок ", "東京都渋谷区の天気は晴れです。", "서울의날씨는맑음입니다", "क्षेत्रीय भाषाओं में "])
+def test_long_text_of_another_script_is_cut(word):
+    enc = encoder(BYTE_BPE_50K, PATTERN)
+    seen = []
+    plain, enc.distinct = enc.distinct, lambda fragments: (seen.extend(fragments), type(enc).distinct(enc, fragments))[1]
+    try:
+        assert ids([word * 2000]) == [reference(word * 2000)]
+    finally:
+        enc.distinct = plain
+    assert max(map(len, seen)) < 10 * len(word.encode())
+
+
 def test_cuts_lie_inside_no_token():
     cuts = certain_cuts([b"ab", b" the", b"\n\n", b"x'"]).reshape(256, 256)
     assert not cuts[ord("a"), ord("b")] and cuts[ord("b"), ord("a")] and not cuts[ord(" "), ord("x")] and cuts[ord("x"), ord("\n")] and not cuts[ord("'"), ord("s")] and not cuts[ord("!"), ord("'")] and not cuts[200:].any()
