@@ -6,6 +6,8 @@ import math
 import shlex
 import subprocess
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -182,32 +184,44 @@ def durations(files: DataFrame, decoder: str = "") -> DataFrame:
     return files.select("resource_id", F.nanvl(seconds("content"), F.lit(None).cast("double")).alias("duration"))
 
 
-def _spectra(blocks: DataFrame, size: int, step: int, frames_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Long form of what ``frames_of`` makes of the windows of a block."""
+def _spectra(blocks: DataFrame, config: AlgorithmConfig) -> DataFrame:
+    """Long form of the frames of a block."""
+    size, step = window_size(config), config.block_step
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = transform(config)
         for x in parts:
             for rid, first, samples in zip(x["resource_id"], x["first_frame"], x["samples"]):
                 samples = np.asarray(samples, np.float64)
                 n = (len(samples) - size) // step + 1
                 for at in range(0, max(n, 0), 512):
-                    k = min(512, n - at)
-                    view = np.lib.stride_tricks.sliding_window_view(samples[at * step : (at + k - 1) * step + size], size)[::step]
-                    m = frames_of(view)
+                    m = of(samples[at * step : (min(n, at + 512) - 1) * step + size])
                     t, f = np.indices(m.shape)
                     yield pd.DataFrame({"resource_id": np.full(m.size, rid, np.int32), "t": (t.ravel() + first + at).astype(np.int32), "f": f.ravel().astype(np.int32), "m": m.ravel()})
 
     return blocks.mapInPandas(run, "resource_id int, t int, f int, m double")
 
 
-def fft_power(config: AlgorithmConfig) -> Callable[[np.ndarray], np.ndarray]:
-    """Windows of samples to power spectra: Hamming-windowed FFT, bins 0 to size / 2 - 1, those below the least bin are 0."""
-    window = np.hamming(config.block_size)
+#: Frames that are transformed at once.
+AT_ONCE = 512
+
 
-    def power(view: np.ndarray) -> np.ndarray:
-        p = np.abs(np.fft.rfft(view * window, axis=1))[:, : config.block_size // 2] ** 2
-        p[:, : config.min_bin] = 0
-        return p
+def _windows(samples: np.ndarray, size: int, step: int) -> np.ndarray:
+    return np.lib.stride_tricks.sliding_window_view(samples, size)[::step]
+
+
+def fft_power(config: AlgorithmConfig) -> Callable[[np.ndarray], np.ndarray]:
+    """Samples to power spectra of their frames: Hamming-windowed FFT, bins 0 to size / 2 - 1, those below the least bin are 0."""
+    window, bins = np.hamming(config.block_size), config.block_size // 2
+
+    def power(samples: np.ndarray) -> np.ndarray:
+        view = _windows(samples, config.block_size, config.block_step)
+        out = np.empty((len(view), bins))
+        for at in range(0, len(view), AT_ONCE):
+            x = np.fft.rfft(view[at : at + AT_ONCE] * window, axis=1)[:, :bins]
+            out[at : at + AT_ONCE] = x.real**2 + x.imag**2
+        out[:, : config.min_bin] = 0
+        return out
 
     return power
 
@@ -216,32 +230,84 @@ def bands(config: AlgorithmConfig) -> int:
     return int(round(math.log2(config.max_frequency / config.min_frequency) * config.bands_per_octave)) if config.kind == "constant_q" else config.block_size // 2
 
 
+#: Taps to either side of the filter before each halving of the rate.
+HALVING = 12
+
+
+@dataclass(frozen=True)
+class Tier:
+    """Bands that are looked at in the signal at a 2 ** ``halved`` times lower rate, in windows of ``size`` of its samples."""
+
+    halved: int
+    size: int
+    hertz: tuple[float, ...]
+
+    @property
+    def reach(self) -> int:
+        """Samples to either side of a frame's centre."""
+        return (self.size // 2 << self.halved) + HALVING * ((1 << self.halved) - 1)
+
+
+@lru_cache(maxsize=8)
+def tiers(config: AlgorithmConfig) -> tuple[Tier, ...]:
+    """The bands by the lowest rate that holds them with room for the filter; a window is as long as the longest kernel in it, that of the lowest band."""
+    q = 1 / (2 ** (1 / config.bands_per_octave) - 1)
+    by_rate: dict[int, list[float]] = {}
+    for b in range(bands(config)):
+        hz, halved = config.min_frequency * 2 ** (b / config.bands_per_octave), 0
+        while halved < 4 and hz <= 0.22 * config.sample_rate / 2 ** (halved + 1) and config.block_step % 2 ** (halved + 1) == 0:
+            halved += 1
+        by_rate.setdefault(halved, []).append(hz)
+    return tuple(Tier(h, -(-math.ceil(q * config.sample_rate / 2**h / min(hz)) // 128) * 128, tuple(hz)) for h, hz in by_rate.items())
+
+
 def window_size(config: AlgorithmConfig) -> int:
-    """Samples a frame looks at: for constant-Q those of its longest kernel, that of the lowest band, rounded up to a number that transforms fast."""
+    """Samples a frame looks at."""
     if config.kind != "constant_q":
         return config.block_size
-    longest = math.ceil(config.sample_rate / config.min_frequency / (2 ** (1 / config.bands_per_octave) - 1))
-    return -(-longest // 2048) * 2048
+    return 2 * -(-max(t.reach for t in tiers(config)) // config.block_step) * config.block_step
+
+
+def halve(x: np.ndarray) -> np.ndarray:
+    """Every second sample after a low-pass filter; sample i stays at place i / 2."""
+    k = np.arange(-HALVING, HALVING + 1)
+    taps = 0.5 * np.sinc(k / 2) * np.kaiser(len(k), 8)
+    return np.convolve(x, taps / taps.sum(), "same")[::2] if len(x) > len(k) else x[::2]
 
 
 def constant_q_magnitude(config: AlgorithmConfig) -> Callable[[np.ndarray], np.ndarray]:
-    """Windows of samples to magnitudes of logarithmic bands: a kernel of Hann-windowed tones, applied in the frequency domain where it isn't negligible."""
-    size = window_size(config)
-    q = 1 / (2 ** (1 / config.bands_per_octave) - 1)
-    kernels: list[tuple[int, np.ndarray]] = []
-    for b in range(bands(config)):
-        hz = config.min_frequency * 2 ** (b / config.bands_per_octave)
-        n = min(size, int(q * config.sample_rate / hz))
-        at = (size - n) // 2
-        tone = np.zeros(size, complex)
-        tone[at : at + n] = np.hanning(n) / n * np.exp(2j * np.pi * hz / config.sample_rate * np.arange(n))
-        spectrum = np.conj(np.fft.fft(tone))[: size // 2 + 1] / size
-        heard = np.flatnonzero(np.abs(spectrum) > 1e-3 * np.abs(spectrum).max())
-        kernels.append((int(heard[0]), spectrum[heard[0] : heard[-1] + 1]))
-
-    def magnitude(view: np.ndarray) -> np.ndarray:
-        spectra = np.fft.rfft(view, axis=1)
-        return np.stack([np.abs(spectra[:, lo : lo + len(k)] @ k) for lo, k in kernels], axis=1)
+    """Samples to magnitudes of the logarithmic bands of their frames: kernels of Hann-windowed tones around a frame's centre, each as long as its band needs, applied in the frequency domain where they aren't negligible. Low bands are looked at in the signal at a lower rate."""
+    q, size, step = 1 / (2 ** (1 / config.bands_per_octave) - 1), window_size(config), config.block_step
+    plan = []
+    for tier in tiers(config):
+        rate, kernels = config.sample_rate / 2**tier.halved, []
+        for hz in tier.hertz:
+            n = min(tier.size, int(q * rate / hz))
+            at = (tier.size - n) // 2
+            tone = np.zeros(tier.size, complex)
+            tone[at : at + n] = np.hanning(n) / n * np.exp(2j * np.pi * hz / rate * np.arange(n))
+            spectrum = np.conj(np.fft.fft(tone))[: tier.size // 2 + 1] / tier.size
+            heard = np.flatnonzero(np.abs(spectrum) > 1e-3 * np.abs(spectrum).max())
+            kernels.append((int(heard[0]), spectrum[heard[0] : heard[-1] + 1]))
+        plan.append((tier, kernels))
+
+    def magnitude(samples: np.ndarray) -> np.ndarray:
+        n = (len(samples) - size) // step + 1
+        levels = [samples]
+        for _ in range(max(t.halved for t, _ in plan)):
+            levels.append(halve(levels[-1]))
+        out = np.empty((n, bands(config)))
+        for tier, kernels in plan:
+            begin = (size // 2 >> tier.halved) - tier.size // 2
+            view = _windows(levels[tier.halved][begin:], tier.size, step >> tier.halved)[:n]
+            first = int(round(math.log2(tier.hertz[0] / config.min_frequency) * config.bands_per_octave))
+            for at in range(0, n, AT_ONCE):
+                x = np.fft.rfft(view[at : at + AT_ONCE], axis=1)
+                y = np.empty((len(x), len(kernels)), complex)
+                for i, (lo, k) in enumerate(kernels):
+                    y[:, i] = x[:, lo : lo + len(k)] @ k
+                out[at : at + AT_ONCE, first : first + len(kernels)] = np.abs(y)
+        return out
 
     return magnitude
 
@@ -252,7 +318,7 @@ def transform(config: AlgorithmConfig) -> Callable[[np.ndarray], np.ndarray]:
 
 def spectrogram(blocks: DataFrame, config: AlgorithmConfig) -> DataFrame:
     """Long form of a block's frames. Blocks need the window's size less a step of context for no frame to be lost. The constant-Q transform is functionally equal to, not bit by bit the same as, others."""
-    return _spectra(blocks, window_size(config), config.block_step, transform(config))
+    return _spectra(blocks, config)
 
 
 def sliding_max(m: np.ndarray, before: int, after: int, axis: int) -> np.ndarray:
@@ -272,14 +338,26 @@ def sliding_max(m: np.ndarray, before: int, after: int, axis: int) -> np.ndarray
     return np.moveaxis(x[:n], 0, axis)
 
 
+def ranges_max(m: np.ndarray, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """For each ``f, a, b`` the maximum of the columns a to b - 1 in column f; -inf where there are none. Maxima over 1, 2, 4, ... columns are made once, and two of them cover any span."""
+    level, out = np.ascontiguousarray(m.T), np.full(m.shape[::-1], -np.inf)
+    f, a, b = (np.array(x) for x in zip(*spans))
+    width = 1
+    while True:
+        now = np.flatnonzero((b - a >= width) & (b - a < 2 * width))
+        if len(now):
+            out[f[now]] = np.maximum(level[a[now]], level[b[now] - width])
+        if not (b - a >= 2 * width).any():
+            return np.ascontiguousarray(out.T)
+        level = np.maximum(level[:-width], level[width:])
+        width *= 2
+
+
 def peaks_of(m: np.ndarray, config: AlgorithmConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Frame, bin and 3 x 3 sum of the cells of a dense ``frames x bins`` block that equal the maxima of their neighbourhoods."""
     half = config.time_max_filter // 2
     if config.kind == "fft":
-        vertical = np.full_like(m, -np.inf)
-        for f, a, b in log_frequency_windows(config):
-            if b > a:
-                vertical[:, f] = m[:, a:b].max(1)
+        vertical = ranges_max(m, log_frequency_windows(config))
     else:
         vertical = sliding_max(m, config.freq_max_filter // 2, config.freq_max_filter // 2, 1)
     horizontal = sliding_max(vertical, half, half - 1, 0)
@@ -304,9 +382,7 @@ def event_points(blocks: DataFrame, config: AlgorithmConfig) -> DataFrame:
                 n = (len(samples) - size) // step + 1
                 if n <= 0:
                     continue
-                view = np.lib.stride_tricks.sliding_window_view(samples, size)[::step]
-                m = np.concatenate([of(view[i : i + 256]) for i in range(0, n, 256)])
-                t, f, around = peaks_of(m, config)
+                t, f, around = peaks_of(of(samples[: (n - 1) * step + size]), config)
                 t = t + first
                 keep = (t >= own) & (t < to) & (t >= half) & (t <= frames - 1 - half)
                 yield pd.DataFrame({"resource_id": np.full(int(keep.sum()), rid, np.int32), "t": t[keep].astype(np.int32), "f": f[keep].astype(np.int32), "m": around[keep]})
