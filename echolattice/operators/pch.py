@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from echolattice.functions.units import hertz_to_relative_cent
-from echolattice.runtime import written
+from echolattice.runtime import shuffle_partitions, written
 
 BINS = 1200
 
@@ -22,9 +27,18 @@ def pitch_class_histogram(pitches: DataFrame, bins: int = BINS) -> DataFrame:
 
 def dense(histogram: DataFrame, bins: int = BINS) -> DataFrame:
     """``resource_id, bins ARRAY<BIGINT>`` with all bins in order."""
-    entries = F.map_from_entries(F.collect_list(F.struct("bin", "cnt")))
-    x = histogram.groupBy("resource_id").agg(entries.alias("m"))
-    return x.select("resource_id", F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("bigint"))).alias("bins"))
+    kind = histogram.schema["resource_id"]
+    entries = histogram.groupBy("resource_id").agg(F.collect_list("bin").alias("at"), F.collect_list("cnt").alias("cnt"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False))
+            full = np.zeros((b.num_rows, bins), np.int64)
+            full[row, b.column(1).flatten().to_numpy()] = b.column(2).flatten().to_numpy()
+            offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * bins)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(full.reshape(-1)))], names=["resource_id", "bins"])
+
+    return entries.mapInArrow(run, T.StructType([kind, T.StructField("bins", T.ArrayType(T.LongType()))]))
 
 
 def best_shifts(q: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,6 +69,8 @@ def shift_matches(queries: DataFrame, references: DataFrame, block_rows: int = 2
     a = asked.select("id", "bins", F.col("block").alias("a"), F.explode(every(held)).alias("b"))
     b = held.select("id", "bins", F.col("block").alias("b"), F.explode(every(asked)).alias("a"))
     kind = queries.schema["resource_id"].dataType.simpleString()
+    # few bytes but much work: a number of partitions of its own keeps adaptive execution from joining them
+    a, b = (x.repartition(shuffle_partitions(queries.sparkSession), "a", "b") for x in (a, b))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:

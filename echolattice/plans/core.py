@@ -12,7 +12,7 @@ from echolattice.config import CONSTANT_Q, FFT
 from echolattice.functions import hashing, names, units
 from echolattice.functions.murmur import file_hash, murmur32
 from echolattice.operators import dedup, evaluate, fingerprints, index, match, monitor, pch, peaks
-from echolattice.runtime import shared_dir, shuffle_partitions, written
+from echolattice.runtime import shared_dir, written
 from echolattice.sources import audio, cachefiles, fixtures
 from echolattice.sources.fixtures import BANDS, SMALL
 from echolattice.sources.tables import millis, table, trimmed
@@ -443,9 +443,9 @@ def pitch_class_histogram(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _shifted(spark: SparkSession, folder: str) -> DataFrame:
-    """The stated queries, ids divisible by 50, against every histogram, in all 1,200 bins. The histograms are few bytes but much work, so they are spread by number."""
-    x = pch.dense(pch.pitch_class_histogram(fixtures.pitches(spark, folder)))
-    return pch.ranked(pch.shift_matches(x.where("resource_id % 50 = 0"), x.repartition(shuffle_partitions(spark), "resource_id")))
+    """The stated queries, ids divisible by 50, against every histogram, in all 1,200 bins."""
+    x = written(pch.dense(pch.pitch_class_histogram(fixtures.pitches(spark, folder))), "histograms")
+    return pch.ranked(pch.shift_matches(x.where("resource_id % 50 = 0"), x))
 
 
 @query
