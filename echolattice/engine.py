@@ -49,6 +49,16 @@ class Strategy(Protocol):
 STRATEGIES: dict[str, type] = {}
 
 
+def described(files: DataFrame, decoder: str) -> Written:
+    """``resource_id, path, duration`` of files, in one pass over their content; a null duration means that it can't be decoded."""
+    return Written(files.select("resource_id", "path", audio.seconds_of(F.col("content"), decoder).alias("duration")), "files")
+
+
+def chosen(files: DataFrame, described_: DataFrame, rows: int) -> DataFrame:
+    """``resource_id, path, content`` of the ``described_`` ones among ``files``: their names go to the content, which is read again but never shuffled (up to MOST_BROADCAST_ROWS of them)."""
+    return files.select("path", "content").join(index.small(described_.select("path", "resource_id"), rows), "path").select("resource_id", "path", "content")
+
+
 def strategy(*names: str) -> Callable[[type], type]:
     """Registers a :class:`Strategy` under the given names."""
 
@@ -68,9 +78,7 @@ class Fingerprints:
         self.index = index.MemoryIndex(spark) if config.storage == "memory" else index.StoredIndex(spark, f"{path}/{config.strategy.lower()}")
 
     def event_points(self, files: DataFrame) -> DataFrame:
-        c = self.config.algorithm
-        blocks = audio.pcm(files, c.sample_rate, c.block_step, audio.window_size(c) - c.block_step, halo=c.time_max_filter, decoder=self.config.decoder)
-        return audio.event_points(blocks, c)
+        return audio.event_points_of(files, self.config.algorithm, self.config.decoder)
 
     def prints(self, files: DataFrame) -> DataFrame:
         return fingerprints(self.event_points(files), self.config.algorithm)
@@ -84,12 +92,14 @@ class Fingerprints:
 
     def store(self, files: DataFrame) -> DataFrame:
         """``resource_id, path, duration, num_fingerprints`` of what is added; content that can't be decoded is not, so it can be stored once it can."""
+        seen = described(files, self.config.decoder)
+        fresh = seen.df.where("duration IS NOT NULL")
         if self.config.check_duplicates:
-            files = index.not_stored(files, self.index.metadata)
-        kept = Written(self.prints(files).select("hash", "resource_id", "t1", "f1", "t3"), "prints")
+            fresh = index.not_stored(fresh, self.index.metadata)
+        fresh = Written(fresh, "fresh")
+        kept = Written(self.prints(chosen(files, fresh.df, fresh.rows)).select("hash", "resource_id", "t1", "f1", "t3"), "prints")
         counts = kept.df.groupBy("resource_id").agg(F.count(F.lit(1)).alias("num_fingerprints"))
-        known = audio.durations(files, self.config.decoder).where("duration IS NOT NULL")
-        meta = files.select("resource_id", "path").join(known, "resource_id").join(counts, "resource_id", "left").select("resource_id", "path", "duration", F.coalesce("num_fingerprints", F.lit(0).cast("bigint")).alias("num_fingerprints"))
+        meta = fresh.df.join(counts, "resource_id", "left").select("resource_id", "path", "duration", F.coalesce("num_fingerprints", F.lit(0).cast("bigint")).alias("num_fingerprints"))
         meta = Written(meta, "metadata")
         self.index.store(kept.df, meta.df)
         if self.config.cache_folder:  # the same stored table also feeds the text caches
@@ -100,15 +110,16 @@ class Fingerprints:
         return meta.df
 
     def query(self, files: DataFrame, most: int, avoid: DataFrame | None) -> DataFrame:
-        asked = files.select(F.col("resource_id").alias("query_id"), F.col("path").alias("query_path"))
-        q = self.postings(files).select(F.col("resource_id").alias("query_id"), "hash", "t1", "f1")
+        seen = described(files, self.config.decoder)
+        asked = seen.df.select(F.col("resource_id").alias("query_id"), F.col("path").alias("query_path"))
+        q = self.postings(chosen(files, seen.df, seen.rows)).select(F.col("resource_id").alias("query_id"), "hash", "t1", "f1")
         found = match.query(q, self.index.postings, self.config.algorithm, most, avoid)
         return match.with_metadata(match.with_empty(asked, found), self.index.metadata)
 
     def monitor(self, files: DataFrame, most: int, avoid_self: bool) -> DataFrame:
-        c = self.config
-        found = monitor.monitor(self.postings(files), self.index.postings, audio.durations(files, c.decoder), c.algorithm, c.monitor_window, c.monitor_overlap, most, avoid_self, empty=True)
-        found = found.join(files.select("resource_id", "path"), "resource_id").withColumn("query_path", window_label(F.col("path"), F.col("start"), F.col("stop"))).drop("label")
+        c, seen = self.config, described(files, self.config.decoder)
+        found = monitor.monitor(self.postings(chosen(files, seen.df, seen.rows)), self.index.postings, seen.df, c.algorithm, c.monitor_window, c.monitor_overlap, most, avoid_self, empty=True)
+        found = found.join(seen.df.select("resource_id", "path"), "resource_id").withColumn("query_path", window_label(F.col("path"), F.col("start"), F.col("stop"))).drop("label")
         return match.with_metadata(found, self.index.metadata)
 
     def delete(self, files: DataFrame) -> None:

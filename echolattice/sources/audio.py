@@ -144,12 +144,22 @@ def problems(content: Column, decoder: str = "") -> Column:
     return run(content)
 
 
+def cut(samples: np.ndarray, step: int, context: int, halo: int, frames_per_block: int) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+    """Blocks of a recording, as the columns of :func:`pcm` after the resource."""
+    frames = max(0, (len(samples) - context) // step)
+    for own in range(0, max(frames, 1), frames_per_block):
+        to = min(frames, own + frames_per_block)
+        first = max(0, own - halo)
+        yield first, own, to, frames, samples[first * step : (to + halo) * step + context]
+
+
 def pcm(files: DataFrame, rate: int, step: int, context: int, halo: int = 0, frames_per_block: int = 4096, decoder: str = "") -> DataFrame:
     """``resource_id, first_frame, own_from, own_to, frames, samples`` from ``resource_id, content``: blocks of ``frames_per_block`` steps.
 
     A block's samples begin ``halo`` frames before its own ones and end ``halo`` frames and ``context`` samples after them, so windows over frames need no other block. ``frames`` is the recording's number of
     whole frames. Content that can't be decoded gives no rows; :func:`problems` tells why.
     """
+    names = ["first_frame", "own_from", "own_to", "frames", "samples"]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in parts:
@@ -158,20 +168,17 @@ def pcm(files: DataFrame, rate: int, step: int, context: int, halo: int = 0, fra
                     samples = decode_wav(decoded(bytes(content), decoder), rate).astype(np.float32)
                 except Undecodable:
                     continue
-                frames = max(0, (len(samples) - context) // step)
-                for own in range(0, max(frames, 1), frames_per_block):
-                    to = min(frames, own + frames_per_block)
-                    first = max(0, own - halo)
-                    yield pd.DataFrame({"resource_id": [rid], "first_frame": [first], "own_from": [own], "own_to": [to], "frames": [frames], "samples": [samples[first * step : (to + halo) * step + context]]})
+                for block in cut(samples, step, context, halo, frames_per_block):
+                    yield pd.DataFrame({"resource_id": [rid], **{k: [v] for k, v in zip(names, block)}})
 
     return files.select("resource_id", "content").mapInPandas(run, "resource_id int, first_frame int, own_from int, own_to int, frames int, samples array<float>")
 
 
-def durations(files: DataFrame, decoder: str = "") -> DataFrame:
-    """``resource_id, duration`` in seconds from the WAV header; null where there is none."""
+def seconds_of(content: Column, decoder: str = "") -> Column:
+    """Duration in seconds from the WAV header; null where there is none."""
 
     @F.pandas_udf("double")
-    def seconds(content: pd.Series) -> pd.Series:
+    def seconds(values: pd.Series) -> pd.Series:
         def one(c: bytes | None) -> float | None:
             try:
                 _, channels, rate, bits, begin, end = wav_header(decoded(bytes(c or b""), decoder))
@@ -179,9 +186,14 @@ def durations(files: DataFrame, decoder: str = "") -> DataFrame:
                 return None
             return (end - begin) / (channels * bits // 8) / rate
 
-        return content.map(one).astype("float64")
+        return values.map(one).astype("float64")
 
-    return files.select("resource_id", F.nanvl(seconds("content"), F.lit(None).cast("double")).alias("duration"))
+    return F.nanvl(seconds(content), F.lit(None).cast("double"))
+
+
+def durations(files: DataFrame, decoder: str = "") -> DataFrame:
+    """``resource_id, duration`` of :func:`seconds_of`."""
+    return files.select("resource_id", seconds_of(F.col("content"), decoder).alias("duration"))
 
 
 def _spectra(blocks: DataFrame, config: AlgorithmConfig) -> DataFrame:
@@ -369,25 +381,51 @@ def peaks_of(m: np.ndarray, config: AlgorithmConfig) -> tuple[np.ndarray, np.nda
     return t, f, sum(padded[t + i, f + j] for i in range(3) for j in range(3))
 
 
+_POINTS = "resource_id int, t int, f int, m double"
+
+
+def _points(rid: int, block: tuple[int, int, int, int, np.ndarray], of: Callable[[np.ndarray], np.ndarray], config: AlgorithmConfig) -> pd.DataFrame | None:
+    first, own, to, frames, samples = block
+    half, step, size = config.time_max_filter // 2, config.block_step, window_size(config)
+    samples = np.asarray(samples, np.float64)
+    n = (len(samples) - size) // step + 1
+    if n <= 0:
+        return None
+    t, f, around = peaks_of(of(samples[: (n - 1) * step + size]), config)
+    t = t + first
+    keep = (t >= own) & (t < to) & (t >= half) & (t <= frames - 1 - half)
+    return pd.DataFrame({"resource_id": np.full(int(keep.sum()), rid, np.int32), "t": t[keep].astype(np.int32), "f": f[keep].astype(np.int32), "m": around[keep]})
+
+
 def event_points(blocks: DataFrame, config: AlgorithmConfig) -> DataFrame:
     """``resource_id, t, f, m`` of the event points of sound in blocks of :func:`pcm` with a halo of at least half the time filter: transform and filters run on a block's matrix, so only the points leave it."""
-    half, step = config.time_max_filter // 2, config.block_step
-    size = window_size(config)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = transform(config)
         for x in parts:
-            for rid, first, own, to, frames, samples in zip(*(x[c] for c in ("resource_id", "first_frame", "own_from", "own_to", "frames", "samples"))):
-                samples = np.asarray(samples, np.float64)
-                n = (len(samples) - size) // step + 1
-                if n <= 0:
+            for rid, *block in zip(*(x[c] for c in ("resource_id", "first_frame", "own_from", "own_to", "frames", "samples"))):
+                if (found := _points(rid, tuple(block), of, config)) is not None:
+                    yield found
+
+    return blocks.mapInPandas(run, _POINTS)
+
+
+def event_points_of(files: DataFrame, config: AlgorithmConfig, decoder: str = "", frames_per_block: int = 2048) -> DataFrame:
+    """The same straight from ``resource_id, content``: samples are cut into the same kind of blocks, which never leave the process that decodes them."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = transform(config)
+        for x in parts:
+            for rid, content in zip(x["resource_id"], x["content"]):
+                try:
+                    samples = decode_wav(decoded(bytes(content), decoder), config.sample_rate).astype(np.float32)
+                except Undecodable:
                     continue
-                t, f, around = peaks_of(of(samples[: (n - 1) * step + size]), config)
-                t = t + first
-                keep = (t >= own) & (t < to) & (t >= half) & (t <= frames - 1 - half)
-                yield pd.DataFrame({"resource_id": np.full(int(keep.sum()), rid, np.int32), "t": t[keep].astype(np.int32), "f": f[keep].astype(np.int32), "m": around[keep]})
+                for block in cut(samples, config.block_step, window_size(config) - config.block_step, config.time_max_filter, frames_per_block):
+                    if (found := _points(rid, block, of, config)) is not None:
+                        yield found
 
-    return blocks.mapInPandas(run, "resource_id int, t int, f int, m double")
+    return files.select("resource_id", "content").mapInPandas(run, _POINTS)
 
 
 def yin_pitch(frame: np.ndarray, rate: int, threshold: float = 0.20) -> float:

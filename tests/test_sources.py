@@ -212,6 +212,7 @@ def test_block_peaks_equal_window_operators(spark, tmp_path):
         whole = audio.pcm(files, RATE, c.block_step, context)
         want = sorted((r.t, r.f) for r in peaks.event_points(audio.spectrogram(whole, c), c, audio.bands(c)).collect())
         assert got == want and len(got) > 10
+        assert sorted((r.t, r.f) for r in audio.event_points_of(files, c, frames_per_block=200).collect()) == want
 
 
 def test_tone_lands_in_its_band(spark, tmp_path):
