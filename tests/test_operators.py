@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from echolattice.config import CONSTANT_Q, FFT
-from echolattice.operators import dedup, evaluate, fingerprints, index, match, monitor, pch, peaks
+from echolattice.operators import blocks, dedup, evaluate, fingerprints, index, match, monitor, pch, peaks
 
 SMALL = CONSTANT_Q.but(freq_max_filter=5, time_max_filter=9, sample_rate=128)
 
@@ -317,3 +317,23 @@ def test_counts_equal_the_listed_hits(spark):
     q = prints(spark, [(r.randrange(3), r.choice([None, *range(40)]), i, 1) for i in range(60)])
     listed = match.near_hash_join(q, idx, CONSTANT_Q).groupBy("query_id", "ref_id").count().where("count >= 10")
     assert sorted(map(tuple, match.hit_counts(q, idx, CONSTANT_Q).collect())) == sorted(map(tuple, listed.collect()))
+
+
+def test_query_by_blocks_lists_only_pairs_on_a_line(spark, monkeypatch):
+    """A hot hash gives every pair hits; with blocks only pairs that can align are listed, with the results of listing all."""
+    rng = random.Random(3)
+    rows = [(h, r, rng.randrange(3000, 4000), rng.randrange(500)) for r in range(60) for h in [1000] * 12 + [rng.choice((1001, 2000, 3000, 3001, 9000 + 10 * r)) for _ in range(25)]]
+    song = [(50_000 + 7 * k, 200 + 80 * k, 100) for k in range(80)]
+    rows += [(h, 7, t, f) for h, t, f in song] + [(h + 1, 9, t + 12_345, f + 2) for h, t, f in song] + [(h, 11, int(t * 1.1), f) for h, t, f in song] * 2
+    idx = spark.createDataFrame(rows, "hash bigint, resource_id int, t1 int, f1 int")
+    q = idx.where("resource_id IN (3, 7, 11)").withColumnRenamed("resource_id", "query_id")
+    want = sorted(map(tuple, match.query(q, idx, CONSTANT_Q).collect()))
+    assert {x[:2] for x in want} >= {(7, 7), (7, 9), (11, 7)}
+    for name, n in (("CHUNK", 500_000), ("CHUNK", 50), ("QUERIES", 1)):
+        monkeypatch.setattr(blocks, name, n)
+        pairs = [tuple(r) for r in blocks.aligned_pairs(q, idx, CONSTANT_Q).collect()]
+        assert {x[:2] for x in want} <= set(pairs) and len(pairs) == len(set(pairs)) < 20
+    assert sorted(map(tuple, match.query(q, idx, CONSTANT_Q, blocks=True).collect())) == want
+    unknown = idx.withColumn("t1", F.expr("IF(resource_id = 9 AND hash % 3 = 0, NULL, t1)"))
+    assert (7, 9) in {tuple(r) for r in blocks.aligned_pairs(q, unknown, CONSTANT_Q).collect()}
+    assert blocks.aligned_pairs(q.limit(0), idx, FFT).count() == 0
