@@ -337,3 +337,21 @@ def test_query_by_blocks_lists_only_pairs_on_a_line(spark, monkeypatch):
     unknown = idx.withColumn("t1", F.expr("IF(resource_id = 9 AND hash % 3 = 0, NULL, t1)"))
     assert (7, 9) in {tuple(r) for r in blocks.aligned_pairs(q, unknown, CONSTANT_Q).collect()}
     assert blocks.aligned_pairs(q.limit(0), idx, FFT).count() == 0
+
+
+def test_hit_counts_shuffle_no_pairs(spark, monkeypatch):
+    """Counted in blocks, whichever hashes go through the matrix product."""
+    rng = random.Random(5)
+    rows = [(rng.choice((None, 100, 100, 101, 104, 500 + r)), rng.choice((None, r)), t, 1) for r in range(50) for t in range(40)]
+    idx = spark.createDataFrame(rows, "hash bigint, resource_id int, t1 int, f1 int")
+    q = idx.where("resource_id % 7 = 0").withColumnRenamed("resource_id", "query_id")
+    want = sorted(map(tuple, match.near_hash_join(q, idx.where("resource_id IS NOT NULL"), CONSTANT_Q).groupBy("query_id", "ref_id").count().where("count >= 10").collect()))
+    for dense, cells, queries in ((64, 1_000_000, 512), (0, 7, 3), (10**12, 7, 2)):
+        monkeypatch.setattr(blocks, "DENSE", dense)
+        monkeypatch.setattr(blocks, "CELLS", cells)
+        monkeypatch.setattr(blocks, "QUERIES", queries)
+        got = match.hit_counts(q, idx, CONSTANT_Q)
+        assert sorted(map(tuple, got.collect())) == want and len(want) > 300
+    # nothing is shuffled after the blocks were worked on, so no pair is
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" in plan and "Exchange" not in plan[: plan.index("CoGroup")]
