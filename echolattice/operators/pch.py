@@ -5,18 +5,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from echolattice.functions.units import hertz_to_relative_cent
-from echolattice.runtime import shuffle_partitions, written
+from echolattice.runtime import Written
 
 BINS = 1200
+#: References whose shifts are added up together, and most references that a task compares with a block of queries.
+TOGETHER, MOST_REFS = 128, 200_000
+KINDS = {"int": pa.int32(), "bigint": pa.int64()}
 
 
 def pitch_class_histogram(pitches: DataFrame, bins: int = BINS) -> DataFrame:
@@ -41,21 +43,99 @@ def dense(histogram: DataFrame, bins: int = BINS) -> DataFrame:
     return entries.mapInArrow(run, T.StructType([kind, T.StructField("bins", T.ArrayType(T.LongType()))]))
 
 
-def best_shifts(q: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For one histogram against the rows of ``refs``: the largest intersection over all circular shifts of a row, relative to the larger sum, and its first shift; (0, 0) if both are empty."""
-    n = len(q)
-    turned = np.concatenate([refs, refs[:, :-1]], axis=1)
-    sums = np.zeros(refs.shape, np.int64)
-    for i in np.flatnonzero(q):  # empty bins of the query add nothing to any shift
-        sums += np.minimum(turned[:, i : i + n], q[i])
-    most = np.maximum(q.sum(), refs.sum(1))
-    at = sums.argmax(1)
-    return sums[np.arange(len(refs)), at] / np.maximum(most, 1), at
+def sparse(histogram: DataFrame, bins: int = BINS) -> DataFrame:
+    """``resource_id, n, at ARRAY<SMALLINT>, cnt ARRAY<BIGINT>``: the filled bins of each histogram of ``n`` bins."""
+    at = F.collect_list(F.col("bin").cast("smallint"))
+    return histogram.groupBy("resource_id").agg(F.lit(bins).alias("n"), at.alias("at"), F.collect_list("cnt").alias("cnt"))
 
 
-def _blocks(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a ``block`` number; blocks hold about ``rows`` rows."""
-    return df.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-df.count() // rows)))).cast("int"))
+def _filled(x: DataFrame) -> DataFrame:
+    """:func:`sparse` of ``resource_id, bins``."""
+    at = F.filter(F.sequence(F.lit(0), F.size("bins") - 1), lambda i: F.get("bins", i) != 0)
+    return x.select("resource_id", F.size("bins").alias("n"), at.cast("array<smallint>").alias("at"), F.filter("bins", lambda v: v != 0).alias("cnt"))
+
+
+def best_shifts(queries: list[tuple[np.ndarray, np.ndarray]], refs: list[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each query and reference, given by their filled bins and counts: the largest intersection over all circular shifts of the reference, relative to the larger sum, and its first shift; (0, 0) if both are empty.
+
+    The shifts of some references at a time lie beside each other, so a filled bin of the query adds one contiguous piece, of the narrowest integers that hold the sums.
+    """
+    total = [np.array([c.sum() for _, c in x], np.int64) for x in (queries, refs)]
+    bound = min(int(t.max()) for t in total)
+    kind = next(k for k in (np.uint8, np.uint16, np.int64) if bound <= np.iinfo(k).max)
+    most, shift = np.empty((len(queries), len(refs)), np.int64), np.empty((len(queries), len(refs)), np.int16)
+    for r0 in range(0, len(refs), TOGETHER):
+        some = refs[r0 : r0 + TOGETHER]
+        turned = np.zeros((2 * n - 1, len(some)), kind)
+        # no sum exceeds the bound, so neither does what a larger count adds to it
+        turned[np.concatenate([a for a, _ in some]), np.repeat(np.arange(len(some)), [len(a) for a, _ in some])] = np.minimum(np.concatenate([c for _, c in some]), bound)
+        turned[n:] = turned[: n - 1]
+        highest, capped = int(turned.max()), {}
+        sums = np.empty((n, len(some)), kind)
+        for j, (at, cnt) in enumerate(queries):
+            sums[:] = 0
+            for i, c in zip(at.tolist(), cnt.tolist(), strict=True):  # empty bins of the query add nothing to any shift
+                if c >= highest:
+                    full = turned
+                elif c <= 16:
+                    full = capped[c] if c in capped else capped.setdefault(c, np.minimum(turned, kind(c)))
+                else:
+                    np.add(sums, np.minimum(turned[i : i + n], kind(c)), out=sums)
+                    continue
+                np.add(sums, full[i : i + n], out=sums)
+            by_ref = np.ascontiguousarray(sums.T)
+            best = by_ref.argmax(1)
+            shift[j, r0 : r0 + len(some)] = best
+            most[j, r0 : r0 + len(some)] = by_ref[np.arange(len(some)), best]
+    return most / np.maximum(np.maximum(total[0][:, None], total[1][None, :]), 1), shift
+
+
+def _one_each(spark: SparkSession, n: int) -> list[int]:
+    """``n`` numbers that hash partitioning sends to ``n`` different partitions."""
+    x = spark.range(n * 40 + 1000).select(F.col("id").cast("int").alias("k"))
+    found = dict(x.groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k")).collect())
+    return [found.get(p, p) for p in range(n)]
+
+
+def _compared(queries: DataFrame, references: DataFrame, block_rows: int, most_refs: int) -> tuple[DataFrame, bool]:
+    """All comparisons of two tables like :func:`sparse`, with ``place`` among the references of the query's block; whether that is the rank, as each block of queries meets all references at once."""
+    spark = queries.sparkSession
+    kind = queries.schema["resource_id"].dataType.simpleString()
+    asked, held = Written(queries, "queries"), Written(references, "references")
+    na, nb = (max(1, -(-x.rows // k)) for x, k in ((asked, block_rows), (held, most_refs)))
+    block = lambda n: F.pmod(F.xxhash64("resource_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # few bytes but much work: each pair of blocks is a task of its own, and adaptive execution doesn't join them
+    keys = F.lit(_one_each(spark, na * nb))
+    g = lambda x: x.withColumn("g", F.get(keys, F.col("a") * nb + F.col("b"))).drop("a", "b").repartition(na * nb, "g")
+    a, b = g(asked.df.withColumn("a", block(na)).withColumn("b", every(nb))), g(held.df.withColumn("b", block(nb)).withColumn("a", every(na)))
+
+    def pairs(t: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+        x = [t[c].combine_chunks() for c in ("at", "cnt")]
+        ends = np.cumsum(pc.list_value_length(x[0]).to_numpy())[:-1]
+        return list(zip(*(np.split(c.flatten().to_numpy(), ends) for c in x), strict=True))
+
+    schema = pa.schema([("query_id", KINDS[kind]), ("ref_id", KINDS[kind]), ("match", pa.float64()), ("shift", pa.int32()), ("place", pa.int32())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        ids, refs = left["resource_id"].combine_chunks(), right["resource_id"].combine_chunks()
+        match, shift = best_shifts(pairs(left), pairs(right), left["n"][0].as_py())
+        order = pc.rank(refs, "ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+        code = ids.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        place = np.empty(match.shape, np.int32)
+        for c in range(code.max() + 1):  # rows of one id share its ranks
+            rows = np.flatnonzero(code == c)
+            ranks = np.empty(len(rows) * len(refs), np.int32)
+            ranks[np.lexsort((np.tile(order, len(rows)), -match[rows].reshape(-1)))] = np.arange(1, len(ranks) + 1)
+            place[rows] = ranks.reshape(len(rows), -1)
+        q = ids.take(pa.array(np.repeat(np.arange(len(ids)), len(refs))))
+        r = refs.take(pa.array(np.tile(np.arange(len(refs)), len(ids))))
+        return pa.table([q, r, pa.array(match.reshape(-1)), pa.array(shift.reshape(-1).astype(np.int32)), pa.array(place.reshape(-1))], schema)
+
+    out = a.groupBy("g").cogroup(b.groupBy("g")).applyInArrow(run, f"query_id {kind}, ref_id {kind}, match double, shift int, place int")
+    return out.withColumn("ratio", F.lit(100.0) * F.pow(F.lit(2.0), F.col("shift") / F.lit(1200.0))), nb == 1
 
 
 def shift_matches(queries: DataFrame, references: DataFrame, block_rows: int = 256) -> DataFrame:
@@ -63,24 +143,13 @@ def shift_matches(queries: DataFrame, references: DataFrame, block_rows: int = 2
 
     Both are cut into blocks of about ``block_rows`` histograms, and each task takes one block of either: a block nested loop whose memory doesn't grow with the number of queries or references. Repeated rows have a result each; an empty side gives none.
     """
-    asked = _blocks(written(queries.select(F.col("resource_id").alias("id"), "bins"), "queries"), block_rows)
-    held = _blocks(written(references.select(F.col("resource_id").alias("id"), "bins"), "references"), block_rows)
-    every = lambda x: x.select(F.col("block").alias("_b")).distinct().agg(F.collect_list("_b")).scalar()
-    a = asked.select("id", "bins", F.col("block").alias("a"), F.explode(every(held)).alias("b"))
-    b = held.select("id", "bins", F.col("block").alias("b"), F.explode(every(asked)).alias("a"))
-    kind = queries.schema["resource_id"].dataType.simpleString()
-    # few bytes but much work: a number of partitions of its own keeps adaptive execution from joining them
-    a, b = (x.repartition(shuffle_partitions(queries.sparkSession), "a", "b") for x in (a, b))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": left["id"][:0], "ref_id": right["id"][:0], "match": np.zeros(0), "shift": np.zeros(0, np.int32)})
-        refs = np.stack(right["bins"].to_list()).astype(np.int64)
-        found = [best_shifts(np.asarray(q, np.int64), refs) for q in left["bins"]]
-        return pd.DataFrame({"query_id": np.repeat(left["id"].to_numpy(), len(right)), "ref_id": np.tile(right["id"].to_numpy(), len(left)), "match": np.concatenate([f[0] for f in found]), "shift": np.concatenate([f[1] for f in found]).astype(np.int32)})
-
-    out = a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInPandas(run, f"query_id {kind}, ref_id {kind}, match double, shift int")
-    return out.withColumn("ratio", F.lit(100.0) * F.pow(F.lit(2.0), F.col("shift") / F.lit(1200.0)))
+    return _compared(_filled(queries), _filled(references), block_rows, block_rows)[0].drop("place")
+
+
+def ranked_matches(queries: DataFrame, references: DataFrame) -> DataFrame:
+    """The rows of :func:`shift_matches` with the ``rank`` of :func:`ranked`, for tables like :func:`sparse`. Up to MOST_REFS references a task compares some queries with all of them and ranks them itself, so no result is shuffled; more are ranked by a window."""
+    out, done = _compared(queries, references, 64, MOST_REFS)
+    return out.withColumnRenamed("place", "rank") if done else ranked(out.drop("place"))
 
 
 def ranked(matches: DataFrame, most: int | None = None) -> DataFrame:

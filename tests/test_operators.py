@@ -355,3 +355,23 @@ def test_hit_counts_shuffle_no_pairs(spark, monkeypatch):
     # nothing is shuffled after the blocks were worked on, so no pair is
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "CoGroup" in plan and "Exchange" not in plan[: plan.index("CoGroup")]
+
+
+def test_histograms_are_ranked_without_a_shuffle_of_results(spark, monkeypatch):
+    """Large counts, ties, repeated and empty histograms; ranks of the tasks equal those of the window."""
+    r = random.Random(6)
+    for high in (3, 300, 90_000):
+        rows = [(i % 33, b, r.choice([1, 2, high])) for i in range(35) for b in range(24) if i != 4 and r.random() < 0.4]
+        hist = spark.createDataFrame(rows, "resource_id int, bin int, cnt bigint").groupBy("resource_id", "bin").agg(F.sum("cnt").alias("cnt"))
+        x, full = pch.sparse(hist, 24), pch.dense(hist, 24)
+        want = {(a.query_id, a.ref_id): (a.match, a["shift"], a["rank"]) for a in pch.ranked(pch.shift_matches(full.where("resource_id % 5 = 0"), full)).collect()}
+        bins = {a.resource_id: a.bins for a in full.collect()}
+        for (i, j), (m, s, _) in want.items():
+            sums = [sum(min(v, bins[j][(k + t) % 24]) for k, v in enumerate(bins[i])) for t in range(24)]
+            assert (max(sums) / max(sum(bins[i]), sum(bins[j])), sums.index(max(sums))) == (m, s)
+        got = pch.ranked_matches(x.where("resource_id % 5 = 0"), x)
+        assert {(a.query_id, a.ref_id): (a.match, a["shift"], a["rank"]) for a in got.collect()} == want and len(want) == 7 * 32
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan[: plan.index("CoGroup")]
+    monkeypatch.setattr(pch, "MOST_REFS", 10)
+    assert {(a.query_id, a.ref_id): (a.match, a["shift"], a["rank"]) for a in pch.ranked_matches(x.where("resource_id % 5 = 0"), x).collect()} == want
