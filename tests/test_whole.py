@@ -29,6 +29,18 @@ def test_best_shift_of_all_stated_queries_in_all_bins(spark, tmp_path):
     assert sorted(x.rank for x in got if x.query_id == 50) == [1, 2, 3, 4, 5]
 
 
+def test_pch_matches_rank_in_the_tasks(spark, tmp_path):
+    rows = [(u, float(u % 7 * 31 + k * k * 3)) for u in (0, 7, 33, 50, 150) for k in range(6)]
+    spark.createDataFrame(rows, "user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    x = catalog.QUERIES["pch_matches"](spark, str(tmp_path))
+    assert "Window" not in x._jdf.queryExecution().executedPlan().toString()
+    got = x.collect()
+    assert len(got) == 15 and all(abs(r.ratio - 100 * 2 ** (r["shift"] / 1200)) < 1e-5 for r in got)
+    for q in (0, 50, 150):
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: (-r.match, r.ref_id))
+        assert [r["rank"] for r in mine] == [1, 2, 3, 4, 5] and mine[0].match == 1
+
+
 def test_queries_held_out_of_the_index_are_tn(spark, tmp_path):
     lines = [(1, "q/7_0s-10s___echo.mp3", "a/7.mp3", 9), (2, "q/7_0s-10s___echo.mp3", "a/8.mp3", 4), (3, "q/7_5s-15s___echo.mp3", None, None), (4, "q/9_0s-10s___echo.mp3\t", None, None), (5, "q/9_5s-15s___echo.mp3", "a/8.mp3", 3)]
     spark.createDataFrame(lines, "line_id long, query_path string, ref_path string, match_score long").write.parquet(f"{tmp_path}/result_lines.parquet")
