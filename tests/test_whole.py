@@ -84,3 +84,11 @@ def test_prefixes_among_more_than_ten_thousand_words(spark):
     want = {"": None, "w": None, "w10499": "w10499", "w1049": None, "z": "z", "ét": "été", "zz": None, None: None}
     got = names.complete(words, prefixes).collect()
     assert dict(map(tuple, got)) == want and len(got) == len(want)
+
+
+def test_metadata_join_lists_few_pairs(spark, monkeypatch):
+    """Only pairs that can align reach the join of hits, whose index names the query of each posting."""
+    seen, join = [], core.match.near_hash_join
+    monkeypatch.setattr(core.match, "near_hash_join", lambda prints, index, *rest: seen.append(index.columns) or join(prints, index, *rest))
+    assert catalog.QUERIES["metadata_join"](spark, "/root/testdata/sf0.001").columns == ["query_id", "ref_id", "ref_path", "rank"]
+    assert "query_id" in seen[0]
