@@ -3,9 +3,11 @@
 from collections import Counter, defaultdict
 from math import floor, log2
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from echolattice.operators import match
+from echolattice.operators import blocks, match
 from echolattice.functions import names
 from echolattice.plans import catalog, core
 
@@ -92,3 +94,17 @@ def test_metadata_join_lists_few_pairs(spark, monkeypatch):
     monkeypatch.setattr(core.match, "near_hash_join", lambda prints, index, *rest: seen.append(index.columns) or join(prints, index, *rest))
     assert catalog.QUERIES["metadata_join"](spark, "/root/testdata/sf0.001").columns == ["query_id", "ref_id", "ref_path", "rank"]
     assert "query_id" in seen[0]
+
+
+def test_metadata_join_makes_few_hits(monkeypatch):
+    """A hash that fills a long reference: hits are counted, and made only of the first and last part, beside those near a line; prints at one time and repeated ones included."""
+    rng = np.random.default_rng(5)
+    song = 200 + 80 * np.arange(60)
+    hot = pa.table({"ref_id": np.full(60_000, 1, np.int32), "hash": rng.choice([1000, 1001, 2000], 60_000), "t1": np.sort(rng.integers(0, 3_000_000, 60_000)).astype(np.int32)})
+    rest = pa.table({"ref_id": np.repeat(np.array([7, 9], np.int32), 62), "hash": np.tile(np.append(50_000 + 7 * np.arange(60), [1000, 2000]), 2), "t1": np.append(np.append(song, [300, 900]), np.append(song * 1.1 + 4000, [5, 6])).astype(np.int32)})
+    asked = pa.table({"query_id": np.full(63, 7, np.int32), "hash": np.append(50_000 + 7 * np.arange(60), [1000, 1001, 2000]), "times": np.append(np.ones(60, np.int64), [2, 3, 1]), "qt": np.append(song, [1000, 1000, 280]).astype(np.int32)})
+    made, expanded = [], blocks._expanded
+    monkeypatch.setattr(blocks, "_expanded", lambda first, n: made.append(int(n.sum())) or expanded(first, n))
+    found = blocks.lines(asked, pa.concat_tables([hot, rest]), core.CONSTANT_Q)
+    assert sorted(map(tuple, zip(*map(np.ndarray.tolist, found), strict=True))) == [(7, 7)]
+    assert sum(made) < 110_000  # of 220,000 hits
