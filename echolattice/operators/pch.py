@@ -16,8 +16,8 @@ from echolattice.functions.units import hertz_to_relative_cent
 from echolattice.runtime import Written
 
 BINS = 1200
-#: References whose shifts are added up together, and most references that a task compares with a block of queries.
-TOGETHER, MOST_REFS = 128, 200_000
+#: References whose shifts are added up together, queries that a task ranks (few, so tasks are many and end together), and most references that it compares with them.
+TOGETHER, RANKED, MOST_REFS = 128, 32, 200_000
 KINDS = {"int": pa.int32(), "bigint": pa.int64()}
 
 
@@ -148,7 +148,7 @@ def shift_matches(queries: DataFrame, references: DataFrame, block_rows: int = 2
 
 def ranked_matches(queries: DataFrame, references: DataFrame) -> DataFrame:
     """The rows of :func:`shift_matches` with the ``rank`` of :func:`ranked`, for tables like :func:`sparse`. Up to MOST_REFS references a task compares some queries with all of them and ranks them itself, so no result is shuffled; more are ranked by a window."""
-    out, done = _compared(queries, references, 64, MOST_REFS)
+    out, done = _compared(queries, references, RANKED, MOST_REFS)
     return out.withColumnRenamed("place", "rank") if done else ranked(out.drop("place"))
 
 

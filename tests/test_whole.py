@@ -43,6 +43,18 @@ def test_pch_matches_rank_in_the_tasks(spark, tmp_path):
         assert [r["rank"] for r in mine] == [1, 2, 3, 4, 5] and mine[0].match == 1
 
 
+def test_pch_matches_looks_ratios_up(spark, tmp_path):
+    """The ratio of every shift, as computed, is the one of a table; no power and no rounding of it for each pair."""
+    spark.createDataFrame([(u, float(v)) for u in (0, 50) for v in range(5, 560, 7 + u)], "user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    x = catalog.QUERIES["pch_matches"](spark, str(tmp_path))
+    plan = x._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "power" not in plan and plan.count("round(") == 1
+    every = spark.range(1200).select(F.round(F.lit(100.0) * F.pow(F.lit(2.0), F.col("id") / F.lit(1200.0)), 6).alias("r")).collect()
+    assert [r.r for r in every] == [round(100 * 2 ** (i / 1200), 6) for i in range(1200)]
+    got = x.collect()
+    assert len(got) == 4 and all(r.ratio == every[r["shift"]].r for r in got)
+
+
 def test_queries_held_out_of_the_index_are_tn(spark, tmp_path):
     lines = [(1, "q/7_0s-10s___echo.mp3", "a/7.mp3", 9), (2, "q/7_0s-10s___echo.mp3", "a/8.mp3", 4), (3, "q/7_5s-15s___echo.mp3", None, None), (4, "q/9_0s-10s___echo.mp3\t", None, None), (5, "q/9_5s-15s___echo.mp3", "a/8.mp3", 3)]
     spark.createDataFrame(lines, "line_id long, query_path string, ref_path string, match_score long").write.parquet(f"{tmp_path}/result_lines.parquet")
